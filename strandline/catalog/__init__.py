@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("transforms", "comparisons", "rankings", "perturbations", "timelines", "places")
+MODULES = ("transforms", "comparisons", "rankings", "perturbations", "timelines", "files", "summaries", "places")
 
 
 def collect() -> tuple[dict, dict[str, str]]:
