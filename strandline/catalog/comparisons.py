@@ -30,8 +30,9 @@ MEANS = "means AS (SELECT item, dim, avg(val) AS val FROM cells GROUP BY item, d
 
 def frames(source: str) -> str:
     """Products of all step pairs of all pairs."""
-    return f"""f AS (SELECT p.item_a, p.item_b, a.pos AS i, b.pos AS j, sum(a.val * b.val) AS s
-  FROM pairs p JOIN {source} a ON a.item = p.item_a JOIN {source} b ON b.item = p.item_b AND b.dim = a.dim GROUP BY ALL)"""
+    return f"""st AS (SELECT item, pos, list(val ORDER BY dim) AS vec FROM {source} GROUP BY item, pos),
+f AS (SELECT p.item_a, p.item_b, a.pos AS i, b.pos AS j, list_dot_product(a.vec, b.vec) AS s
+  FROM pairs p JOIN st a ON a.item = p.item_a JOIN st b ON b.item = p.item_b)"""
 
 
 BEST = "m AS (SELECT item_a, item_b, i, max(s) AS best, arg_min(j, (-s, j)) AS spot FROM f GROUP BY ALL), w AS (SELECT item_a, item_b, j, max(s) AS best, arg_min(i, (-s, i)) AS spot FROM f GROUP BY ALL)"
@@ -55,8 +56,9 @@ _score("sim_ordered_frame", f"{UNITS} SELECT item_a, item_b, round(sum(a.val * b
 _JOIN_BEST = "FROM (SELECT item_a, item_b, avg(best) AS x FROM m GROUP BY ALL) JOIN (SELECT item_a, item_b, avg(best) AS y FROM w GROUP BY ALL) USING (item_a, item_b)"
 _score("sim_chamfer_norm", f"{UNITS}, {frames('units')}, {BEST} SELECT item_a, item_b, round((x + y) / 2, 6) + 0.0 AS score {_JOIN_BEST}", "chamfer")
 _score("sim_chamfer_raw", f"{frames('cells')}, {BEST} SELECT item_a, item_b, round((x + y) / 2, 6) + 0.0 AS score {_JOIN_BEST}", "chamfer_raw")
-_GAPS = """g AS (SELECT p.item_a, p.item_b, a.pos AS i, b.pos AS j, sqrt(sum((a.val - b.val) * (a.val - b.val))) AS s
-  FROM pairs p JOIN {c} a ON a.item = p.item_a JOIN {c} b ON b.item = p.item_b AND b.dim = a.dim GROUP BY ALL)"""
+_GAPS = """sg AS (SELECT item, pos, list(val ORDER BY dim) AS vec FROM {c} GROUP BY item, pos),
+g AS (SELECT p.item_a, p.item_b, a.pos AS i, b.pos AS j, list_distance(a.vec, b.vec) AS s
+  FROM pairs p JOIN sg a ON a.item = p.item_a JOIN sg b ON b.item = p.item_b)"""
 _score(
     "sim_chamfer_euclid",
     f"""{_GAPS.format(c='cells')}, m AS (SELECT item_a, item_b, i, min(s) AS best FROM g GROUP BY ALL), w AS (SELECT item_a, item_b, j, min(s) AS best FROM g GROUP BY ALL)
@@ -130,8 +132,8 @@ QUERIES["derivative_multiscale"] = derivative_multiscale
 
 def _scale_sql(w: int) -> str:
     t = T - w
-    return f"""(WITH st AS (SELECT item, pos, dim, val FROM (SELECT item, pos, dim, lead(val, {w}) OVER (PARTITION BY item, dim ORDER BY pos) - val AS val FROM cells) WHERE val IS NOT NULL),
-su AS (SELECT item, pos, dim, val / greatest(sqrt(sum(val * val) OVER (PARTITION BY item, pos)), 1e-12) AS val FROM st),
+    return f"""(WITH steps AS (SELECT item, pos, dim, val FROM (SELECT item, pos, dim, lead(val, {w}) OVER (PARTITION BY item, dim ORDER BY pos) - val AS val FROM cells) WHERE val IS NOT NULL),
+su AS (SELECT item, pos, dim, val / greatest(sqrt(sum(val * val) OVER (PARTITION BY item, pos)), 1e-12) AS val FROM steps),
 {_GAPS.format(c='su')},
 r AS (SELECT item_a, item_b, i, list(s ORDER BY j) AS cost FROM g GROUP BY item_a, item_b, i),
 d AS (WITH RECURSIVE p(item_a, item_b, i, acc) AS (
