@@ -8,7 +8,7 @@ the share of documents that hold a pair, plus a fixed amount for marks that soun
 within Cyrillic words, capitals after small letters, frame signs or control codes between letters).
 
 Pass 1 aggregates pair shares (combined in each task before one small shuffle).  Only pairs in at least
-``KNOWN`` of all documents are kept, at most (pairs per document) / KNOWN rows, whatever the corpus; these
+``KNOWN`` of all documents (and ``LEAST`` documents) are kept, at most (pairs per document) / KNOWN rows, whatever the corpus; these
 are broadcast.  Pass 2 is a scan with a Python kernel that remembers what it made of each word.
 """
 
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from strandline.names import free_name
 
 KNOWN = 2e-4  # share of documents from which on a pair counts as known
+LEAST = 3  # documents that hold a known pair, at least: one garbled text, filed twice, must not vouch for itself
+_RARE_COST = 6.0
 _UNKNOWN_COST = -math.log(KNOWN) + 0.5
 _MARK_COST = 3.0
 _REMEMBERED = 200_000
@@ -46,6 +48,7 @@ _MARKS = re.compile(
     r"|[a-zß-öø-ÿ][À-ÖØ-ÞŠŽŒŸ]|[а-џ][А-ЯЁ]"
     r"|[A-Za-zЀ-ӿ][¡-´¶-¿×÷†-•‰‹›™ˆ˜∀-⋿─-◿⌐ﬁﬂ]"
     r"|[¤-´¶¹¼-¾†‡‰∀-⋿─-◿⌐ﬁﬂ][A-Za-zЀ-ӿ]"
+    r"|[Ѐ-ӿ]µ|µ[Ѐ-ӿ]"
 )
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 _WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
@@ -179,6 +182,7 @@ class Repairer:
         longest_first = sorted(self.lost, key=len, reverse=True)
         self.lost_hint = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
         self.seen: dict[str, str | None] = {}
+        self.helped: dict[str, tuple[int, ...]] = {}
 
     def cost(self, passage: str) -> float:
         get = self.costs.get
@@ -219,13 +223,26 @@ class Repairer:
             if not options or min(options)[0] > cost - 1.5:
                 break
             cost, _, now = min(options)
-        result = now[1:-1] if now != first and cost <= start - 3 and self._new_are_known(first, now) else None
+        result = now[1:-1] if now != first and cost <= start - 3 and self._new_are_known(first, now) and len(_MARKS.findall(now)) <= len(_MARKS.findall(first)) else None
         if len(self.seen) >= _REMEMBERED:
             self.seen.clear()
         if len(word) <= 64:
             self.seen[word] = result
         return result
 
+    def _helpful(self, word: str) -> tuple[int, ...]:
+        """The exchanges that make a word between blanks cheaper."""
+        found = self.helped.get(word)
+        if found is None:
+            padded = f" {word} "
+            cost = self.cost(padded)
+            found = tuple(k for k, (_, change) in enumerate(self.exchanges) if (y := padded.translate(change)) != padded and self.cost(y) < cost - 3) if cost >= _RARE_COST else ()
+            if len(self.helped) >= _REMEMBERED:
+                self.helped.clear()
+            if len(word) <= 64:
+                self.helped[word] = found
+        return found
+
     def _wide_exchange(self, sentence: str, table: dict[str, int], written: str) -> str | None:
         out, run, changed = [], [], False
 
@@ -257,18 +274,17 @@ class Repairer:
         """The sentence restored from one legacy encoding read in another, or None."""
         first = f" {sentence} "
         marks = len(_MARKS.findall(first))
-        unknown = sum(p not in self.costs for p in _SPLIT_PAIRS.findall(first))
-        if not marks and unknown < 4:
+        rare = sum(self.costs.get(p, _UNKNOWN_COST) >= _RARE_COST for p in _SPLIT_PAIRS.findall(first))
+        if not marks and not rare:
             return None
         start = self.cost(first)
         best: tuple[float, str] | None = None
-        for _, change in self.exchanges:
-            y = first.translate(change)
-            if y != first:
-                c = self.cost(y)
-                if (best is None or c < best[0]) and self._new_are_known(first, y):
-                    best = (c, y)
-        for _, table, written in self.wide:
+        for k in sorted({k for word in _WORD.findall(first) for k in self._helpful(word)}):
+            y = first.translate(self.exchanges[k][1])
+            c = self.cost(y)
+            if (best is None or c < best[0]) and self._new_are_known(first, y):
+                best = (c, y)
+        for _, table, written in self.wide if marks or rare >= 4 else ():
             y = self._wide_exchange(first, table, written)
             if y is not None:
                 c = self.cost(y)
@@ -278,7 +294,8 @@ class Repairer:
             return None
         drop = start - best[0]
         left = len(_MARKS.findall(best[1]))
-        sure = (drop >= 8 and left < marks and best[0] <= 0.75 * start) or (drop >= 20 and best[0] <= 0.6 * start)
+        share = best[0] / start
+        sure = (drop >= 8 and (share <= 0.45 or (left < marks and share <= 0.75))) or (drop >= 11 and rare >= 2 and share <= 0.7)
         return best[1][1:-1] if sure else None
 
     def text(self, text: str) -> tuple[bool, str]:
@@ -339,7 +356,7 @@ def corpus_costs(documents: DataFrame, text: str) -> tuple[dict[str, float], fro
 
     counted = documents.select(text).mapInArrow(count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
     total = documents.count()
-    rows = counted.where((F.col("n") >= F.lit(KNOWN * total))).collect()
+    rows = counted.where(F.col("n") >= F.lit(max(float(LEAST), KNOWN * total))).collect()
     return {r["item"]: -math.log(r["n"] / total) for r in rows if len(r["item"]) == 2}, frozenset(r["item"] for r in rows if len(r["item"]) > 2)
 
 
