@@ -223,7 +223,7 @@ class Repairer:
             if not options or min(options)[0] > cost - 1.5:
                 break
             cost, _, now = min(options)
-        result = now[1:-1] if now != first and cost <= start - 3 and self._new_are_known(first, now) and len(_MARKS.findall(now)) <= len(_MARKS.findall(first)) else None
+        result = now[1:-1] if now != first and cost <= start - 3 and self._new_are_known(first, now) and (cost <= start - 12 or len(_MARKS.findall(now)) <= len(_MARKS.findall(first))) else None
         if len(self.seen) >= _REMEMBERED:
             self.seen.clear()
         if len(word) <= 64:
