@@ -13,6 +13,7 @@ from strandline.operators.arrays import rows_l2
 from strandline.operators.comparators import comparator, dtw_exp, score_pairs
 from strandline.operators.pairs import attach_features
 from strandline.operators.perturb import scramble_hashed
+from strandline.plans.rules import split_by_order
 
 
 def multiscale_similarity(pairs: DataFrame, a: str, b: str, windows: Sequence[int], out: str = "score") -> DataFrame:
@@ -73,8 +74,7 @@ def scramble_scores(pairs: DataFrame, first: DataFrame, second: DataFrame, ks: S
     repeated for all k.
     """
     joined = pairs.join(first.select(F.col("seq_id").alias("id_a"), F.col("emb").alias("a__")), "id_a").join(second.select(F.col("seq_id").alias("id_b"), F.col("emb").alias("b__")), "id_b")
-    fixed = [m for m in methods if comparator(m).order_invariant]
-    moving = [m for m in methods if m not in fixed]
+    fixed, moving = split_by_order(methods)
     each = F.explode(F.array(*(F.lit(k) for k in sorted(set(ks)))))
     keys = ["id_a", "id_b", "label"]
 

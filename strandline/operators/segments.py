@@ -13,11 +13,9 @@ def gaps_and_islands(frames: DataFrame, keys: Sequence[str], order: str, label:
 
     Any other label, and a null one, ends a stretch.  ``end`` is the place after the stretch's last.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
     shown = F.col(label) if targets is None else F.when(F.col(label).isin(list(targets)), F.col(label))
     rows = frames.select(*keys, F.col(order).alias("o__"), shown.alias("l__")).withColumn("new__", (~F.col("l__").eqNullSafe(F.lag("l__").over(Window.partitionBy(*keys).orderBy("o__")))).cast("int"))
     rows = rows.withColumn("run__", F.sum("new__").over(Window.partitionBy(*keys).orderBy("o__").rowsBetween(Window.unboundedPreceding, 0)))
-    del w
     runs = rows.where(F.col("l__").isNotNull()).groupBy(*keys, "run__", F.col("l__").alias(label)).agg(F.min("o__").alias("start"), (F.max("o__") + 1).alias("end"), F.count("*").alias("n"))
     return runs.drop("run__")
 
