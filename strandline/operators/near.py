@@ -115,6 +115,8 @@ def near_pairs(points: DataFrame, id: str, at: Sequence[Column], radius: float)
         half = up.join(a, [F.col(f"up_a_c{k}") == F.col(f"a_p{k}") for k in _AXES]).where(F.col("sure") | (_box_gap2("a", "b") <= r2)).drop(*kept_b)
         b = _side(level(d), "b")
         pairs = judged(half.join(b, [F.col(f"up_b_c{k}") == F.col(f"b_p{k}") for k in _AXES]).where(~F.col("within") | ordered))
+        if (depth - d) % 2 == 0:  # keeps the plan, which the driver plans anew after every stage, to a few joins
+            pairs = scratch.table(pairs)
 
     def member(side: str) -> DataFrame:
         return placed.select(F.col("id").alias(f"{side}_id"), *(F.col(k).alias(f"{side}_{k}") for k in _AXES), *(F.col(f"c{k}").alias(f"{side}_c{k}") for k in _AXES))
