@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.catalog.base import ITEMS, items, r6
-from strandline.operators import arrays as A
 from strandline.operators import fusion as U
 from strandline.operators import metrics as M
 from strandline.operators import pairs as P
+from strandline.operators.comparators import score_pairs
 from strandline.operators.gallery import gallery_scores
 
 QUERIES: dict = {}
@@ -19,10 +20,10 @@ SQL: dict[str, str] = {}
 
 
 def pair_scores(s: SparkSession, d: str) -> DataFrame:
-    pairs = P.within_group_pairs(items(s, d), "cluster", "item", "kind", ["v"])
-    sim = F.round(A.dot(F.col("v_a"), F.col("v_b")), 6)
-    dist = F.round(A.euclid(F.slice("v_a", 1, 16), F.slice("v_b", 1, 16)), 6)
-    return pairs.select("cluster", "item_a", "item_b", "gt", sim.alias("sim"), dist.alias("dist"))
+    pairs = P.within_group_pairs(items(s, d).withColumn("x", F.array("v")), "cluster", "item", "kind", ["x"])
+    kernels = {"sim": lambda a, b: (a[:, 0] * b[:, 0]).sum(axis=1), "dist": lambda a, b: np.sqrt(((a[:, 0, :16] - b[:, 0, :16]) ** 2).sum(axis=1))}
+    scored = score_pairs(pairs.select("cluster", "item_a", "item_b", "gt", "x_a", "x_b"), "x_a", "x_b", kernels)
+    return scored.withColumn("sim", F.round("sim", 6)).withColumn("dist", F.round("dist", 6))
 
 
 DOT = "round(list_sum(list_transform(range(1, 65), lambda k: {a}.v[k] * {b}.v[k])), 6)"

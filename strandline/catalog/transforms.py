@@ -126,8 +126,8 @@ SQL["smooth_convolve_same"] = """SELECT user_id, event_id, round(sum(value) OVER
 QUERIES["downsample_block_mean"] = lambda s, d: series.block_mean(user_events(s, d), ["user_id"], "event_id", ["sec", "value"], 10).select("user_id", "block", F.round("sec", 3).alias("sec"), r6("value").alias("value"))
 SQL["downsample_block_mean"] = f"""WITH {EVENTS}, n AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS block FROM ev)
 SELECT user_id, CAST(block AS BIGINT) AS block, round(avg(sec), 3) AS sec, round(avg(value), 6) + 0.0 AS value FROM n GROUP BY user_id, block HAVING count(*) = 10"""
-QUERIES["clock_offset_median"] = lambda s, d: series.clock_offset(user_events(s, d).withColumn("ms", F.floor(F.col("sec") * 1000)), ["user_id"], "ms", "value").select("user_id", F.round("offset", 3).alias("offset_s"))
-SQL["clock_offset_median"] = f"WITH {EVENTS} SELECT user_id, round(median(floor(sec * 1000) / 1000.0 - value), 3) AS offset_s FROM ev WHERE sec > 0 AND value > 1 GROUP BY user_id"
+QUERIES["clock_offset_median"] = lambda s, d: series.clock_offset(user_events(s, d).withColumn("ms", F.floor(F.col("sec") * 1000)), ["user_id"], "ms", "value").select("user_id", F.round("offset", 4).alias("offset_s"))
+SQL["clock_offset_median"] = f"WITH {EVENTS} SELECT user_id, round(median(floor(sec * 1000) / 1000.0 - value), 4) AS offset_s FROM ev WHERE sec > 0 AND value > 1 GROUP BY user_id"
 _flow = lambda s, d: items(s, d).select(F.col("item").alias("seq"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((F.element_at("v", i * 2 + 1) * 90).alias("dx"), (F.element_at("v", i * 2 + 2) * 90).alias("dy")))).alias("step", "f")).select("seq", F.col("step").cast("bigint").alias("step"), "f.dx", "f.dy")
 FLOW = f"""{ITEMS}, c AS (SELECT item, generate_subscripts(v, 1) - 1 AS i, unnest(v) * 90 AS val FROM items),
 flow AS (SELECT a.item AS seq, CAST(a.i // 2 AS BIGINT) AS step, a.val AS dx, b.val AS dy FROM c a JOIN c b ON a.item = b.item AND b.i = a.i + 1 WHERE a.i % 2 = 0)"""
