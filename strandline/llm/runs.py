@@ -77,14 +77,27 @@ _RUN = T.StructType(
 
 
 def _encode(gap: int):
-    """Kernel: a chunk's sorted, distinct events in, its runs out.  Only the open run is carried between batches."""
+    """Kernel: a chunk's sorted events in, its runs out; like rows count once.  Only the open run and the last row are
+    carried between batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk = TaskContext.get().partitionId()
         carry: dict | None = None  # the open run, with the furthest end of its stretch
         in_first = True  # still in the chunk's first stretch
         made = 0
+        last: tuple | None = None
         for b in batches:
+            if b.empty:
+                continue
+            # like rows are neighbours, and in one chunk, for the chunks are ranges of whole rows
+            again = np.ones(len(b), bool)
+            for c in b.columns:
+                values = b[c].to_numpy()
+                again[1:] &= values[1:] == values[:-1]
+            now = tuple(b.iloc[0])
+            again[0] = last is not None and now == last
+            last = tuple(b.iloc[-1])
+            b = b[~again]
             if b.empty:
                 continue
             seq, label = b["sequence"].to_numpy(), b["label"].to_numpy()
@@ -141,10 +154,10 @@ def collapse_runs(events: DataFrame, sequence: str, label: str, start: str, end:
     scratch = Scratch(spark, "runs")
     types = {c: events.schema[c].dataType for c in (sequence, label)}
     use = events.select(F.col(sequence).cast("string").alias("sequence"), F.col(label).cast("string").alias("label"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(tie).alias("tie"))
-    use = use.dropna().where(F.col("end") > F.col("start")).distinct()
+    use = use.dropna().where(F.col("end") > F.col("start"))
     keys = ["sequence", "start", "end", "tie", "label"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = use.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("sequence", "label", "start", "end")
+    chunks = use.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     runs = scratch.table(chunks.mapInPandas(_encode(gap), _RUN))
 
     # One summary row per chunk (there are as many chunks as shuffle partitions, whatever the data).
