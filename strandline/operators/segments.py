@@ -8,23 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gaps_and_islands(frames: DataFrame, keys: Sequence[str], order: str, label: str, targets: Sequence | None = None) -> DataFrame:
+def gaps_and_islands(frames: DataFrame, keys: Sequence[str], order: str, label: str, targets: Sequence | None = None, bucket: int = 100_000) -> DataFrame:
     """(keys, label, start, end, n): stretches of equal labels as [start, end); only labels in ``targets``.
 
-    Any other label, and a null one, ends a stretch.  ``end`` is the place after the stretch's last.
+    Any other label, and a null one, ends a stretch; rows with a null place take no part.  ``end`` is the place after the
+    stretch's last.  Stretches are found within buckets of ``bucket`` places, so a key of any length is many tasks; then
+    the first and last stretch of each bucket, at most two rows, are joined with those of its neighbours.
     """
     shown = F.col(label) if targets is None else F.when(F.col(label).isin(list(targets)), F.col(label))
-    rows = frames.select(*keys, F.col(order).alias("o__"), shown.alias("l__")).withColumn("new__", (~F.col("l__").eqNullSafe(F.lag("l__").over(Window.partitionBy(*keys).orderBy("o__")))).cast("int"))
-    rows = rows.withColumn("run__", F.sum("new__").over(Window.partitionBy(*keys).orderBy("o__").rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.where(F.col("l__").isNotNull()).groupBy(*keys, "run__", F.col("l__").alias(label)).agg(F.min("o__").alias("start"), (F.max("o__") + 1).alias("end"), F.count("*").alias("n"))
-    return runs.drop("run__")
+    rows = frames.where(F.col(order).isNotNull()).select(*keys, F.col(order).alias("o__"), shown.alias("l__"), F.floor(F.col(order) / bucket).alias("b__"))
+    local = Window.partitionBy(*keys, "b__").orderBy("o__")
+    rows = rows.withColumn("new__", (F.row_number().over(local) == 1) | ~F.col("l__").eqNullSafe(F.lag("l__").over(local)))
+    rows = rows.withColumn("run__", F.sum(F.col("new__").cast("int")).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max("run__").over(Window.partitionBy(*keys, "b__"))
+    runs = rows.groupBy(*keys, "b__", "run__").agg(F.first("l__").alias("l__"), F.min("o__").alias("start"), F.max("o__").alias("stop__"), F.count("*").alias("n")).withColumn("last__", F.col("run__") == last)
+    first = F.col("run__") == 1
+    inner = runs.where(~first & ~F.col("last__")).select(*keys, "l__", "start", "stop__", "n")
+    border = runs.where(first | F.col("last__"))
+    along = Window.partitionBy(*keys).orderBy("start")
+    goes_on = first & F.lag("last__").over(along) & F.col("l__").eqNullSafe(F.lag("l__").over(along)) & F.lag("b__").over(along).isNotNull()
+    border = border.withColumn("opens__", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("whole__", F.sum("opens__").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = border.groupBy(*keys, "whole__").agg(F.first("l__").alias("l__"), F.min("start").alias("start"), F.max("stop__").alias("stop__"), F.sum("n").alias("n")).drop("whole__")
+    out = inner.unionByName(joined.select(inner.columns)).where(F.col("l__").isNotNull())
+    return out.select(*keys, F.col("l__").alias(label), "start", (F.col("stop__") + 1).alias("end"), "n")
 
 
 def count_run_starts(frames: DataFrame, keys: Sequence[str], order: str, label: str, nothing) -> DataFrame:
-    """(keys, label, n): how many stretches of each label other than ``nothing`` begin."""
-    before = F.lag(label).over(Window.partitionBy(*keys).orderBy(order))
-    rows = frames.withColumn("first__", ~F.col(label).eqNullSafe(before))
-    return rows.where(F.col("first__") & (F.col(label) != F.lit(nothing))).groupBy(*keys, label).agg(F.count("*").alias("n"))
+    """(keys, label, n): how many stretches of each label other than ``nothing`` there are; a null label is a stretch's end."""
+    runs = gaps_and_islands(frames, keys, order, label).where(F.col(label) != F.lit(nothing))
+    return runs.groupBy(*keys, label).agg(F.count("*").alias("n"))
 
 
 def midpoint_seconds(start: Column, end: Column, origin: Column, fps: float = 3.0) -> Column:
