@@ -210,3 +210,27 @@ p AS (SELECT a.item AS ia, b.item AS ib, CAST(a.item = b.item AS INTEGER) AS lab
 o AS (SELECT ia, ib, label, sum(a.val * b.val) / {T}.0 AS s FROM p JOIN units a ON a.item = ia JOIN units b ON b.item = ib AND b.dim = a.dim AND b.pos = CASE WHEN label = 1 THEN {T - 1} - a.pos ELSE a.pos END GROUP BY ALL),
 c AS (SELECT ia, ib, label, sum(a.val * b.val) / (sqrt(sum(a.val * a.val)) * sqrt(sum(b.val * b.val))) AS s FROM p JOIN m a ON a.item = ia JOIN m b ON b.item = ib AND b.dim = a.dim GROUP BY ALL)
 SELECT o.label, count(*) AS n, round(sum(c.s), 6) + 0.0 AS cosine, round(sum(o.s), 6) + 0.0 AS ordered_frame FROM o JOIN c USING (ia, ib) GROUP BY o.label"""
+
+
+def _loose(s, d):
+    numbered = items(s, d).select("item", F.col("item").alias("place"))  # the items are numbered from 0
+    positives = cluster_pairs(s, d, ()).where("gt = 1").select(F.col("item_a").alias("id_a"), F.col("item_b").alias("id_b"))
+    return X.draw_negatives(numbered, positives, "item", "place", 1000, 2000, 42)
+
+
+QUERIES["neg_sample_loose"] = _loose
+SQL["neg_sample_loose"] = f"""WITH {ITEMS}, {PAIRS}, k AS (SELECT unnest(range(0, 2000)) AS draw), n AS (SELECT count(*) AS n FROM items),
+r AS (SELECT draw, ('0x' || substr(md5(draw || '|a|42'), 25, 8))::BIGINT % 2147483648 % n AS a, ('0x' || substr(md5(draw || '|b|42'), 25, 8))::BIGINT % 2147483648 % n AS b FROM k, n)
+SELECT draw, least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE a <> b AND (least(a, b), greatest(a, b)) NOT IN (SELECT (item_a, item_b) FROM pairs WHERE gt = 1) ORDER BY draw LIMIT 1000"""
+
+
+def _guarded(s, d):
+    pairs = cluster_pairs(s, d).select("item_a", "item_b", F.when(F.col("item_a") % 7 == 0, F.slice("x_a", 1, 0)).otherwise(F.col("x_a")).alias("x_a"), "x_b")
+    return score_pairs(pairs, "x_a", "x_b", ["ordered_frame"]).select("item_a", "item_b", r6("ordered_frame").alias("score"))
+
+
+QUERIES["sim_empty_guard"] = _guarded
+SQL["sim_empty_guard"] = f"""{WITH}, {PAIRS}, {UNITS} SELECT item_a, item_b, CASE WHEN item_a % 7 = 0 THEN 0.0 ELSE round(sum(a.val * b.val) / {T}.0, 6) + 0.0 END AS score
+FROM pairs p JOIN units a ON a.item = p.item_a JOIN units b ON b.item = p.item_b AND b.dim = a.dim AND b.pos = a.pos GROUP BY item_a, item_b"""
+QUERIES["seed_sweep"] = QUERIES["multiseed_summary"]
+SQL["seed_sweep"] = SQL["multiseed_summary"]

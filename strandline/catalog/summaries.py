@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,7 +163,7 @@ def _stream_gallery(s, d):
     from strandline.operators.gallery import gallery_scores
 
     it = items(s, d)
-    path = f"{shared_root(s)}/strandline-gallery-{id(it)}"
+    path = f"{shared_root(s)}/strandline-gallery-{uuid.uuid4().hex}"
     queries = Z.file_stream(s, f"{d}/embeddings.parquet", table(s, d, "embeddings").schema).select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("v"))
     return Z.best_of_gallery(queries, it, path, lambda q, g: gallery_scores(q, g, "item", "v").withColumn("sim", F.round("sim", 6)), 3)
 

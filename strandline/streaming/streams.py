@@ -6,6 +6,7 @@ stream must decide) and, for runs, by a time-out.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -53,7 +54,6 @@ def run_segments(events: DataFrame, key: str, order: str, label: str, ts: str, l
             rows.append((k[0], *open_run))
             state.remove()
         else:
-            newest = 0
             frame = pd.concat(list(batches)).sort_values(order, kind="stable")
             for lab, at in zip(frame[label], frame[order]):
                 if open_run is not None and lab == open_run[0]:
@@ -73,8 +73,6 @@ def run_segments(events: DataFrame, key: str, order: str, label: str, ts: str, l
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", each_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream over all that is there now, into a table of the shared folder, and return that table."""
-    import uuid
-
     spark = stream.sparkSession
     root = f"{shared_root(spark)}/strandline-stream-{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
