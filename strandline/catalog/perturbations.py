@@ -109,8 +109,8 @@ t AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM c WINDOW w AS
 ap AS (SELECT method, k, sum(pos * tp / CAST(seen AS DOUBLE)) / sum(pos) AS ap FROM t GROUP BY method, k)"""
 QUERIES["scramble_gradient"] = lambda s, d: _gradient(s, d).select("method", "k", r6("ap").alias("ap"))
 SQL["scramble_gradient"] = f"{GRADIENT} SELECT method, k, round(ap, 6) + 0.0 AS ap FROM ap"
-QUERIES["gradient_verdict"] = lambda s, d: G.gradient_verdict(_gradient(s, d), 0.0).select("method", r6("drop").alias("drop"), "verdict")
-SQL["gradient_verdict"] = f"{GRADIENT}, w AS (SELECT method, max(ap) FILTER (k = 1) - max(ap) FILTER (k = 4) AS d FROM ap GROUP BY method) SELECT method, round(d, 6) + 0.0 AS drop, CASE WHEN d > 0 THEN 'order-sensitive' ELSE 'order-invariant' END AS verdict FROM w"
+QUERIES["gradient_verdict"] = lambda s, d: G.gradient_verdict(_gradient(s, d), 0.001).select("method", r6("drop").alias("drop"), "verdict")
+SQL["gradient_verdict"] = f"{GRADIENT}, w AS (SELECT method, max(ap) FILTER (k = 1) - max(ap) FILTER (k = 4) AS d FROM ap GROUP BY method) SELECT method, round(d, 6) + 0.0 AS drop, CASE WHEN d > 0.001 THEN 'order-sensitive' ELSE 'order-invariant' END AS verdict FROM w"
 
 
 def _multiseed(s, d):
