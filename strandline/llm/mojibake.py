@@ -4,10 +4,12 @@ A text garbled by reading bytes in encoding R though they were written in W turn
 decoding the bytes strictly in W.  The operator tries candidate pairs on every passage, repeats for nested
 layers, and accepts a repair only where a garbling cost drops.  The cost of a passage is the surprise of its
 adjacent character pairs (those with a character beyond ASCII), learnt over all documents of the corpus as
-the share of documents that hold a pair, plus a fixed amount for marks that sound text doesn't have (Latin
+the share of documents that hold a pair (copies of one text are one document, and passages that turn
+back as a whole by a strict UTF-8 round trip don't count at all), plus a fixed amount for marks that sound text doesn't have (Latin
 within Cyrillic words, capitals after small letters, frame signs or control codes between letters).
 
-Pass 1 aggregates pair shares (combined in each task before one small shuffle).  Only pairs in at least
+Pass 1 brings copies of one text together (a shuffle of the texts beyond ASCII, combined in each task first) and
+aggregates pair shares.  Only pairs in at least
 ``KNOWN`` of all documents (and ``LEAST`` documents) are kept, at most (pairs per document) / KNOWN rows, whatever the corpus; these
 are broadcast.  Pass 2 is a scan with a Python kernel that remembers what it made of each word.
 """
@@ -31,7 +33,10 @@ LEAST = 3  # documents that hold a known pair, at least: one garbled text, filed
 _RARE_COST = 6.0
 _UNKNOWN_COST = -math.log(KNOWN) + 0.5
 _MARK_COST = 3.0
+FEW = 200  # of fewer different texts than these, copies count as up to LEAST documents, for little else can vouch
 _REMEMBERED = 200_000
+_STRICT = 2  # characters that a strict round trip of a passage gives, at least, for the passage not to count as sound
+_LONG = 4  # and for it to be taken whatever characters the corpus is known to use
 
 # The candidate encodings.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_15")
@@ -51,6 +56,7 @@ _MARKS = re.compile(
     r"|[Ѐ-ӿ]µ|µ[Ѐ-ӿ]"
 )
 _BEYOND = re.compile(r"[^\x00-\x7f]")
+_ALONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
 _WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
 _SENTENCE = re.compile(r"[^.!?\n]*[^\x00-\x7f][^.!?\n]*[.!?]?")
 _EDGES = ".,;:!?()"
@@ -75,6 +81,37 @@ def _small_letters(table: dict[str, int]) -> dict[str, int]:
     return {**table, **lowered}
 
 
+def _strict_tables() -> list[tuple[frozenset[str], frozenset[str], dict[int, int]]]:
+    """By encoding: characters of leading bytes, of continuing ones, and the map to bytes (beyond 255: no such byte)."""
+    out = []
+    for table in map(_byte_table, READ_AS):
+        change = {b: 0xFFFF for b in range(128, 256)} | {ord(c): b for c, b in table.items()}
+        out.append((frozenset(c for c, b in table.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in table.items() if b <= 0xBF), change))
+    return out
+
+
+_STRICT_TABLES = _strict_tables()
+
+
+def strict_round_trips(passage: str, least: int) -> list[str]:
+    """What the passage turns back into where all its characters beyond ASCII are UTF-8 bytes read in one encoding,
+    and at least ``least`` characters come of it."""
+    m = _BEYOND.search(passage)
+    if m is None or _ALONE.search(passage):
+        return []
+    first, second = passage[m.start() : m.start() + 2]
+    out = []
+    for lead, tail, change in _STRICT_TABLES:
+        if first in lead and second in tail:
+            try:
+                y = passage.translate(change).encode("latin-1").decode("utf-8")
+            except UnicodeError:
+                continue
+            if len(_BEYOND.findall(y)) >= least and y not in out:
+                out.append(y)
+    return out
+
+
 class _Reader:
     """One encoding that UTF-8 bytes may have been read in."""
 
@@ -304,7 +341,7 @@ class Repairer:
         plain = text
         if "&#" in text:
             plain = _ENTITY.sub(lambda m: chr(int(m.group(1))) if 0x22 <= int(m.group(1)) <= 0xFFFF and not 0xD800 <= int(m.group(1)) <= 0xDFFF else m.group(), text)
-        if not _BEYOND.search(plain):
+        if not _BEYOND.search(plain) or not plain.strip():
             return garbled, text
         hit = False
 
@@ -328,13 +365,23 @@ class Repairer:
             hit = True
             return y
 
-        restored = _WORD.sub(fix_lost, _SENTENCE.sub(fix_sentence, _WORD.sub(fix_word, plain)))
+        def fix_strict(m: re.Match) -> str:
+            nonlocal hit
+            y = m.group()
+            for _ in range(4):
+                options = strict_round_trips(y, _LONG)
+                if not options:
+                    break
+                hit, y = True, min(options, key=self.cost)
+            return y
+
+        restored = _WORD.sub(fix_lost, _SENTENCE.sub(fix_sentence, _WORD.sub(fix_word, _SENTENCE.sub(fix_strict, plain))))
         return garbled or hit, restored if hit else text
 
 
 def corpus_costs(documents: DataFrame, text: str) -> tuple[dict[str, float], frozenset[str]]:
     """The pairs known to the corpus with their costs (-log of the share of all documents that hold the pair),
-    and the known words beyond ASCII."""
+    and the known words beyond ASCII.  Copies of one text are one document (see ``FEW``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
@@ -343,20 +390,25 @@ def corpus_costs(documents: DataFrame, text: str) -> tuple[dict[str, float], fro
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["item", "n"])
 
         for batch in batches:
-            for value in batch.column(0):
-                plain = value.as_py()
-                if plain and not plain.isascii():
-                    held.update(set(_SPLIT_PAIRS.findall(f" {plain} ")))
-                    held.update({w for m in _WORD.findall(plain) if 3 <= len(w := m.strip(_EDGES)) <= 40})
+            for value, copies in zip(batch.column(0), batch.column(1).to_pylist()):
+                plain = _SENTENCE.sub(lambda m: " " if strict_round_trips(m.group(), _STRICT) else m.group(), value.as_py())
+                if not plain.isascii():
+                    items = set(_SPLIT_PAIRS.findall(f" {plain} ")) | {w for m in _WORD.findall(plain) if 3 <= len(w := m.strip(_EDGES)) <= 40}
+                    held.update(dict.fromkeys(items, copies))
             if len(held) > 500_000:
                 yield rows()
                 held.clear()
         if held:
             yield rows()
 
-    counted = documents.select(text).mapInArrow(count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
-    total = documents.count()
-    rows = counted.where(F.col("n") >= F.lit(max(float(LEAST), KNOWN * total))).collect()
+    texts = documents.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    held = texts.groupBy(F.xxhash64("text")).count().agg(F.count("*"), F.sum(F.least("count", F.lit(LEAST)))).first()
+    few = held[0] < FEW
+    total = held[1] if few else held[0]
+    copies = F.least(F.count("*"), F.lit(LEAST if few else 1)).alias("copies")
+    beyond = texts.where(F.octet_length("text") > F.char_length("text")).groupBy("text").agg(copies)
+    counted = beyond.mapInArrow(count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= F.lit(max(float(LEAST), KNOWN * (total or 0)))).collect()
     return {r["item"]: -math.log(r["n"] / total) for r in rows if len(r["item"]) == 2}, frozenset(r["item"] for r in rows if len(r["item"]) > 2)
 
 
