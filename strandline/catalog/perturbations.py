@@ -13,6 +13,7 @@ from strandline.operators import metrics as M
 from strandline.operators import pairs as P
 from strandline.operators import perturb as X
 from strandline.operators.comparators import score_pairs
+from strandline.operators.gallery import gallery_totals
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -212,6 +213,29 @@ c AS (SELECT ia, ib, label, sum(a.val * b.val) / (sqrt(sum(a.val * a.val)) * sqr
 SELECT o.label, count(*) AS n, round(sum(c.s), 6) + 0.0 AS cosine, round(sum(o.s), 6) + 0.0 AS ordered_frame FROM o JOIN c USING (ia, ib) GROUP BY o.label"""
 
 
+def _unit(v):
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, c: t + c * c))
+    return F.transform(v, lambda c: c / F.greatest(norm, F.lit(1e-12)))
+
+
+def forward_and_reversed(seqs: DataFrame) -> DataFrame:
+    """Every sequence of (item, x) against all others' forward ones (label 0) and its own reversed one (label 1): number
+    and sums of the scores.  Sequences have one shape, so both scores are products of unit vectors."""
+    steps, dims = F.size("x"), F.size(F.col("x")[0])
+    mean = F.transform(F.sequence(F.lit(0), dims - 1), lambda k: F.aggregate("x", F.lit(0.0), lambda t, r: t + F.get(r, k)) / steps)
+    flat = F.transform(F.flatten(F.transform("x", _unit)), lambda c: c / F.sqrt(steps))
+    vectors = seqs.select("item", _unit(mean).alias("mean"), flat.alias("flat"))
+    totals = {v: gallery_totals(vectors, vectors, "item", v).withColumnRenamed("total", f"of_{v}") for v in ("mean", "flat")}
+    neg = totals["mean"].join(totals["flat"], "n").select(F.lit(0).alias("label"), "n", r6("of_mean").alias("cosine"), r6("of_flat").alias("ordered_frame"))
+    pos = score_pairs(seqs.select("x", F.reverse("x").alias("y")), "x", "y", ["cosine", "ordered_frame"])
+    pos = pos.groupBy(F.lit(1).alias("label")).agg(F.count("*").alias("n"), r6(F.sum("cosine")).alias("cosine"), r6(F.sum("ordered_frame")).alias("ordered_frame"))
+    return neg.unionByName(pos)
+
+
+# all queries against all items; SQL over all pairs is too slow, so this has none
+QUERIES["join_fwd_rev_gallery_all"] = lambda s, d: forward_and_reversed(seqs(s, d).select("item", "x"))
+
+
 def _loose(s, d):
     numbered = items(s, d).select("item", F.col("item").alias("place"))  # the items are numbered from 0
     positives = cluster_pairs(s, d, ()).where("gt = 1").select(F.col("item_a").alias("id_a"), F.col("item_b").alias("id_b"))

@@ -55,3 +55,29 @@ def gallery_scores(queries: DataFrame, items: DataFrame, id: str, v: str, dist_d
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = tasks.repartition(parts, "a__", "b__").select("rows_a", "rows_b")
     return spread.mapInArrow(run, "query_id long, cand_id long, sim double, dist double")
+
+
+def gallery_totals(queries: DataFrame, items: DataFrame, id: str, v: str) -> DataFrame:
+    """(n, total) in one row: number and sum of the products of the vectors over all query_id <> cand_id, added up
+    within each pair of blocks, so no row per pair is made.  ``n`` is 0 and ``total`` null where there is none."""
+    a, b = _blocks(queries, id, v, "a"), _blocks(items, id, v, "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            rows = column.flatten()
+            ids = np.asarray(rows.field("id"))
+            return ids, np.asarray(rows.field("v").flatten()).reshape(len(ids), -1)
+
+        for batch in batches:
+            n, total = [], []
+            for k in range(batch.num_rows):
+                qi, q = side(batch.column("rows_a").slice(k, 1))
+                ci, c = side(batch.column("rows_b").slice(k, 1))
+                other = qi[:, None] != ci[None, :]
+                n.append(int(other.sum()))
+                total.append(float((q @ c.T)[other].sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["n", "total"])
+
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = a.join(b, F.lit(True)).repartition(parts, "a__", "b__").select("rows_a", "rows_b")
+    return spread.mapInArrow(run, "n long, total double").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").alias("total"))
