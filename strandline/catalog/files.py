@@ -150,6 +150,10 @@ QUERIES["src_muvr"] = lambda s, d: R.related_videos(table(s, d, "topics"), table
 SQL["src_muvr"] = """WITH t AS (SELECT DISTINCT topic_id FROM topics WHERE topic_id IS NOT NULL ORDER BY 1 LIMIT 120), k AS (SELECT DISTINCT video_id FROM videos WHERE video_name IS NOT NULL AND topic_id IN (SELECT topic_id FROM t))
 SELECT DISTINCT video1_id, video2_id, topic_id FROM relationships WHERE topic_id IN (SELECT topic_id FROM t) AND video1_id IN (SELECT video_id FROM k) AND video2_id IN (SELECT video_id FROM k)"""
 
+QUERIES["src_muvr_all"] = lambda s, d: R.related_videos(table(s, d, "topics"), table(s, d, "videos"), table(s, d, "relationships")).select("video1_id", "video2_id", "topic_id").distinct()
+SQL["src_muvr_all"] = """WITH k AS (SELECT DISTINCT video_id FROM videos WHERE video_name IS NOT NULL)
+SELECT DISTINCT video1_id, video2_id, topic_id FROM relationships WHERE video1_id IN (SELECT video_id FROM k) AND video2_id IN (SELECT video_id FROM k)"""
+
 
 def narrations(s, d):
     a = table(s, d, "activity_segments").where("start_sec is not null and end_sec is not null and start_sec < 36000").select("segment_id", "start_sec", "end_sec").distinct()

@@ -116,11 +116,13 @@ def can_bus(pose: DataFrame, steer: DataFrame, bucket: float = 60.0) -> DataFram
     return asof_interpolate(p, s, ["scene"], "sec", "ts", "value", bucket, out="steer")
 
 
-def related_videos(topics: DataFrame, videos: DataFrame, relationships: DataFrame, first_topics: int) -> DataFrame:
-    """Pairs of the first topics both of whose videos can be resolved (have a name)."""
-    chosen = topics.select("topic_id").dropna().distinct().orderBy("topic_id").limit(first_topics)
-    known = videos.where(F.col("video_name").isNotNull()).join(chosen, "topic_id", "left_semi").select("video_id").distinct()
-    out = relationships.join(chosen, "topic_id", "left_semi")
+def related_videos(topics: DataFrame, videos: DataFrame, relationships: DataFrame, first_topics: int | None = None) -> DataFrame:
+    """Pairs both of whose videos can be resolved (have a name), of the first topics if a number of them is given."""
+    known, out = videos.where(F.col("video_name").isNotNull()), relationships
+    if first_topics is not None:
+        chosen = topics.select("topic_id").dropna().distinct().orderBy("topic_id").limit(first_topics)
+        known, out = known.join(chosen, "topic_id", "left_semi"), out.join(chosen, "topic_id", "left_semi")
+    known = known.select("video_id").distinct()
     for side in ("video1_id", "video2_id"):
         out = out.join(known.withColumnRenamed("video_id", side), side, "left_semi")
     return out
