@@ -53,14 +53,15 @@ QUERIES["src_pt_embeddings"] = pt_embeddings
 SQL["src_pt_embeddings"] = "SELECT CAST(vec_id AS VARCHAR) AS seq_id, CAST(8 AS BIGINT) AS steps, round(CAST(embedding[11] AS DOUBLE), 6) AS probe FROM embeddings"
 
 
-def pairs_csv(s, d):
-    p = within_group_pairs(items(s, d), "cluster", "item", "kind").where("item_a % 5 = 0")
+def _pairs_read_back(s, p):
     line = p.select(F.when(F.col("item_b") % 11 == 0, _cat(" ", _s("item_a"), ",", _s("item_b"))).otherwise(_cat(" ", _s("item_a"), " , ", _s("item_b"), ",", _s("gt"))).alias("value"))
     return R.read_pairs(s, _text(s, line, "pairs.csv", "Video_A,video_b,label"))
 
 
-QUERIES["src_pairs_csv"] = pairs_csv
+QUERIES["src_pairs_csv"] = lambda s, d: _pairs_read_back(s, within_group_pairs(items(s, d), "cluster", "item", "kind").where("item_a % 5 = 0"))
 SQL["src_pairs_csv"] = f"WITH {ITEMS} SELECT CAST(a.item AS VARCHAR) AS id_a, CAST(b.item AS VARCHAR) AS id_b, CAST(a.kind = b.kind AS INTEGER) AS label FROM items a JOIN items b ON a.cluster = b.cluster AND a.item < b.item WHERE a.item % 5 = 0 AND b.item % 11 <> 0"
+QUERIES["src_pairs_csv_all"] = lambda s, d: _pairs_read_back(s, within_group_pairs(items(s, d), "cluster", "item", "kind"))
+SQL["src_pairs_csv_all"] = f"WITH {ITEMS} SELECT CAST(a.item AS VARCHAR) AS id_a, CAST(b.item AS VARCHAR) AS id_b, CAST(a.kind = b.kind AS INTEGER) AS label FROM items a JOIN items b ON a.cluster = b.cluster AND a.item < b.item WHERE b.item % 11 <> 0"
 
 
 def pair_annotations(s, d):

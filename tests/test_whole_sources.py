@@ -10,3 +10,10 @@ def test_no_number_of_topics_takes_all(spark):
     assert R.related_videos(topics, videos, related).count() == 300
     assert R.related_videos(topics.limit(0), videos, related).count() == 300  # the topics only matter for a number of them
     assert R.related_videos(topics, videos, related, 120).count() == 120
+
+
+def test_all_pairs_are_written_and_read(spark, data):
+    from strandline.catalog.files import QUERIES
+
+    ids = {int(r["id_a"]) % 5 for r in QUERIES["src_pairs_csv_all"](spark, data).select("id_a").distinct().collect()}
+    assert ids == {0, 1, 2, 3, 4}
