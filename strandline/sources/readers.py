@@ -67,11 +67,11 @@ def camera_frames(sample_data: DataFrame, calibrated: DataFrame, sensors: DataFr
     return sample_data.join(of_channel.select(F.col("token").alias("calibrated_sensor_token")), "calibrated_sensor_token", "left_semi")
 
 
-def walk_chain(scenes: DataFrame, samples: DataFrame, max_steps: int = 100_000) -> DataFrame:
+def walk_chain(scenes: DataFrame, samples: DataFrame) -> DataFrame:
     """(scene, step, token, timestamp): samples in the order of their ``next`` links from each scene's first one.
 
     Links double in length every round (pointer jumping): log2(longest chain) joins, not one per link.  A missing token
-    ends the chain.
+    ends the chain; a cycle is refused.
     """
     from strandline.scratch import Scratch
 
@@ -82,8 +82,11 @@ def walk_chain(scenes: DataFrame, samples: DataFrame, max_steps: int = 100_000)
     jump = samples.select("token", F.col("next").alias("to")).join(known, "to", "left_semi").select("token", "to")
     reach = samples.select("token").join(jump, "token", "left").select("token", "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("hops"))
     reach = scratch.table(reach)
-    steps = 1
-    while steps < max_steps and reach.where("to is not null").limit(1).count():
+    # a chain of distinct tokens has fewer links than there are samples; a link open beyond that is part of a cycle
+    steps, n_samples = 1, samples.count()
+    while reach.where("to is not null").limit(1).count():
+        if steps > n_samples:
+            raise ValueError("the next links of the samples form a cycle")
         far = reach.select(F.col("token").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"))
         after = reach.join(far, "to", "left").select("token", F.col("to2").alias("to"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"))
         reach = scratch.table(after)
