@@ -1,7 +1,8 @@
 """Materialised intermediate tables in the folder that all executors share.
 
 Iterative operators cut their lineage by writing a table and reading it back.  The folder is the one the
-cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is made.
+cluster names in ``spark.checkpoint.dir``, or else the one given to ``setCheckpointDir``.  Only a session whose
+executors run on this machine (master ``local``) may have neither and gets a folder of its own; others are refused.
 A written table survives the loss of any executor, which a locally cached or locally checkpointed one doesn't.
 """
 
@@ -11,19 +12,26 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a local one where none is set."""
+    """The cluster's checkpoint folder; a local one where none is set and all executors are on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _local.setdefault("root", "")
-        if not root:
-            root = _local["root"] = "file://" + tempfile.mkdtemp(prefix="strandline-")
+        context = spark.sparkContext
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            root = given.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            root = _local.get("root")
+            if not root:
+                root = _local["root"] = "file://" + tempfile.mkdtemp(prefix="strandline-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
     return root.rstrip("/")
 
 
@@ -42,13 +50,19 @@ class Scratch:
         self._n = 0
         _made.append((spark, self.folder))
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return a scan of what was written (same columns and types)."""
+    def table(self, df: DataFrame, **measures: Column) -> DataFrame:
+        """Write ``df`` and return a scan of what was written (same columns and types).
+
+        ``measures``: aggregates of the rows, taken as they are written and kept in ``measured`` of the result.
+        """
         self._n += 1
         path = f"{self.folder}/{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
+        seen = Observation()
+        counted = df.observe(seen, *(c.alias(name) for name, c in measures.items())) if measures else df
+        counted.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._strandline_path = path
+        out.measured = seen.get if measures else {}
         return out
 
     def drop(self, df: DataFrame) -> None:
