@@ -10,7 +10,7 @@ round is written to the shared folder; nothing but two numbers a round reaches t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.scratch import Scratch
@@ -29,36 +29,41 @@ def _small_star(e: DataFrame) -> DataFrame:
     return rewritten.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _state() -> dict[str, Column]:
+    """Taken while a round is written, so a round costs one job."""
+    return {"n": F.count(F.lit(1)), "hash": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
 
 
-def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60, records: DataFrame | None = None, record: str | None = None) -> DataFrame:
     """(record, group) for every record with at least one link: ``group`` is its component's smallest record.
 
     ``pairs`` links column ``a`` with column ``b`` (of one orderable type).  Direction and repetition make no
     difference; pairs with a null end and pairs of a record with itself link nothing.  No pairs, no rows.
-    Rounds go on until a round changes nothing; needing more than ``max_rounds`` raises, it never cuts off.
+    With ``records``, every non-null value of its column ``record`` comes out as well, once; one without a link is
+    a group of its own.  Rounds go on until a round changes nothing; needing more than ``max_rounds`` raises, it never
+    cuts off.
     """
     scratch = Scratch(pairs.sparkSession, "components")
     clean = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna().where("x <> y")
-    edges = scratch.table(clean.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    state = _state(edges)
+    edges = scratch.table(clean.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), **_state())
     for _ in range(max_rounds):
-        if state[0] == 0:
+        if not edges.measured["n"]:
             break
-        after = scratch.table(_small_star(_large_star(edges)))
-        new = _state(after)
+        after = scratch.table(_small_star(_large_star(edges)), **_state())
         scratch.drop(edges)
+        settled = after.measured == edges.measured
         edges = after
-        if new == state:
+        if settled:
             break
-        state = new
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     members = edges.select(F.col("u").alias("record"), F.col("v").alias("group"))
     heads = edges.select(F.col("v").alias("record"), F.col("v").alias("group")).distinct()
-    return members.unionAll(heads)
+    grouped = members.unionAll(heads)
+    if records is None:
+        return grouped
+    every = records.select(F.col(record).alias("record")).dropna().unionAll(grouped.select("record")).distinct()
+    return every.join(grouped, "record", "left").select("record", F.coalesce("group", "record").alias("group"))
 
 
 def relationship_links(relationships: DataFrame, videos: DataFrame) -> DataFrame:

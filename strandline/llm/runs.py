@@ -106,14 +106,18 @@ def _encode(gap: int):
             goes_on = carry is not None and (seq[0], label[0]) == (carry["sequence"], carry["label"])
             in_first = in_first and (carry is None or goes_on)
             stretch = np.cumsum(border)
-            # furthest end so far within each stretch: ends are lifted by stretch so that one running maximum serves all
-            lift = stretch * (int(end.max()) - int(min(end.min(), 0)) + 1)
-            reach = np.maximum.accumulate(end + lift) - lift
+            # furthest end so far within each stretch: the ends' ranks, which are small whatever the ends, are lifted by
+            # stretch so that one running maximum serves all
+            ends, rank = np.unique(end, return_inverse=True)
+            lift = stretch * len(ends)
+            reach = ends[np.maximum.accumulate(rank + lift) - lift]
             if goes_on:
                 own = stretch == 1
                 reach[own] = np.maximum(reach[own], carry["reach"])
-            before = np.r_[carry["reach"] if goes_on else 0, reach[:-1]]
-            opens = (border & ~np.r_[goes_on, np.zeros(len(b) - 1, bool)]) | (start > before + gap)
+            before = np.r_[np.int64(carry["reach"] if goes_on else 0), reach[:-1]]
+            # the distance is below 2 ** 64 and taken without a sign, so it is right for any start and end
+            beyond = (start > before) & (start.view(np.uint64) - before.view(np.uint64) > np.uint64(gap))
+            opens = (border & ~np.r_[goes_on, np.zeros(len(b) - 1, bool)]) | beyond
             heads = np.flatnonzero(opens)
             bounds = np.r_[heads, len(b)]
             if bounds[0] > 0:  # the carried run grows first
@@ -149,8 +153,15 @@ def collapse_runs(events: DataFrame, sequence: str, label: str, start: str, end:
     far; the run's end is that furthest end, its duration end - start.  Events with a null in any of the
     columns, or whose end isn't after their start, take no part.  Rows alike in all five columns count once.
     ``sequence`` and ``label`` come back with their own types.  An empty input gives no rows.
+    ``start`` and ``end`` are whole numbers up to 64 bits (frames, or times in any unit, before or after zero);
+    other types raise.  A duration beyond 64 bits is null.
     """
     spark = events.sparkSession
+    if gap < 0:
+        raise ValueError("gap must not be negative")
+    for c in (start, end):
+        if not isinstance(events.schema[c].dataType, T.IntegralType):
+            raise TypeError(f"{c} must be a whole number; cast times to a unit of your own first")
     scratch = Scratch(spark, "runs")
     types = {c: events.schema[c].dataType for c in (sequence, label)}
     use = events.select(F.col(sequence).cast("string").alias("sequence"), F.col(label).cast("string").alias("label"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(tie).alias("tie"))
@@ -178,9 +189,10 @@ def collapse_runs(events: DataFrame, sequence: str, label: str, start: str, end:
 
     # open_at has at most one row per chunk, so it may be broadcast
     joined = runs.join(F.broadcast(open_at), "chunk", "left")
-    goes_on = F.coalesce(F.col("leading") & (F.col("start") <= F.col("open_reach") + gap), F.lit(False))
+    near = (F.col("start") <= F.col("open_reach")) | (F.col("start").cast("decimal(20,0)") - F.col("open_reach").cast("decimal(20,0)") <= gap)
+    goes_on = F.coalesce(F.col("leading") & near, F.lit(False))
     joined = joined.withColumn("whole", F.when(goes_on, F.col("open_run")).otherwise(F.col("run_id"))).withColumn("border", goes_on | F.col("last"))
     inner = joined.where("not border").select("sequence", "label", "start", "end", "n")
     border = joined.where("border").groupBy("whole").agg(F.first("sequence").alias("sequence"), F.first("label").alias("label"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("whole")
     out = inner.unionByName(border)
-    return out.select(F.col("sequence").cast(types[sequence]).alias(sequence), F.col("label").cast(types[label]).alias(label), F.col("start").cast(events.schema[start].dataType).alias(start), F.col("end").cast(events.schema[end].dataType).alias(end), F.col("n").alias("n_events"), (F.col("end") - F.col("start")).alias("duration"))
+    return out.select(F.col("sequence").cast(types[sequence]).alias(sequence), F.col("label").cast(types[label]).alias(label), F.col("start").cast(events.schema[start].dataType).alias(start), F.col("end").cast(events.schema[end].dataType).alias(end), F.col("n").alias("n_events"), F.try_subtract("end", "start").alias("duration"))

@@ -5,7 +5,7 @@ node keeps a cluster, sends it to the cluster's minimum and the minimum to all i
 changes.  Clusters are kept as rows (node, member), never as lists, so none is gathered in one task.  Records
 are reduced to distinct entity links before the first shuffle, so an entity with a third of all records is
 one node.  Components are then placed by weighted rendezvous hashing: every split scores
--weight / ln(hash of component and split) and the highest wins, so placement needs no shuffle, depends on
+-weight / ln(md5 of seed, split and component as a number below 1) and the highest wins, so placement needs no shuffle, depends on
 nothing but the component and the targets, and changing a target moves only the share that has to move.
 """
 
@@ -30,19 +30,20 @@ def hash_to_min(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataF
     both = pair.dropna()
     nodes = pair.select(F.explode(F.array("x", "y")).alias("node")).dropna()
     clusters = nodes.select("node", F.col("node").alias("member")).unionAll(both.select(F.col("x").alias("node"), F.col("y").alias("member"))).unionAll(both.select(F.col("y").alias("node"), F.col("x").alias("member"))).distinct()
-    clusters = scratch.table(clusters)
-    state: tuple | None = None
+    measures = {"n": F.count(F.lit(1)), "hash": F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))}
+    clusters = scratch.table(clusters, **measures)
     for _ in range(max_rounds):
-        new = tuple(clusters.agg(F.count("*"), F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first())
-        if new == state or new[0] == 0:
+        if not clusters.measured["n"]:
             break
-        state = new
         least = clusters.groupBy("node").agg(F.min("member").alias("least"))
         sent = clusters.join(least, "node")
         after = sent.select(F.explode(F.array(F.struct(F.col("least").alias("node"), "member"), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))).alias("row")).select("row.*").distinct()
-        after = scratch.table(after)
+        after = scratch.table(after, **measures)
         scratch.drop(clusters)
+        settled = after.measured == clusters.measured
         clusters = after
+        if settled:
+            break
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     return clusters.groupBy("node").agg(F.min("member").alias("component")).withColumnRenamed("node", "entity")
@@ -55,7 +56,8 @@ def rendezvous(key: Column, targets: Sequence[tuple[str, float]], seed: int = 0)
         raise ValueError("no split has a positive proportion")
     scores = []
     for name, weight in live:
-        unit = (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), key.cast("string"))), 1, 13)
+        unit = (F.conv(digits, 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
         scores.append(F.struct((F.lit(-weight) / F.log(unit)).alias("score"), F.lit(name).alias("name")))
     return F.greatest(*scores)["name"] if len(scores) > 1 else F.lit(live[0][0])
 
@@ -85,20 +87,50 @@ def assign_splits(records: DataFrame, entity: str, alias: str | None, targets: S
     return out.withColumn(part, rendezvous(F.col(comp), targets, seed))
 
 
+def consolidate(records: DataFrame, spelling: Column, name: Column, out: str) -> DataFrame:
+    """``records`` with ``out``: the name that hash-to-min finds for each record's ``spelling``.
+
+    Every spelling with a non-null ``name`` is tied to it; a component is a name with all its spellings, and its
+    smallest member is the name, for spellings are told apart by a first character beyond all of a name's.  One spelling
+    must not have two names: it would join them, and the smaller one would stand for both.  A record with a null
+    spelling or name has null.  A column of ``records`` called ``out`` stays, the added one then gets a number.
+    """
+    key, out = free_name("spelling__", records.columns), free_name(out, records.columns)
+    keyed = records.withColumn(key, F.when(name.isNotNull(), F.concat(F.lit(_LAST), spelling)))
+    found = hash_to_min(keyed.select(F.col(key).alias("a__"), F.when(F.col(key).isNotNull(), name).alias("b__")), "a__", "b__")
+    found = found.where(F.col("entity").startswith(_LAST)).select(F.col("entity").alias(key), F.col("component").alias(out))
+    return keyed.join(found, key, "left").drop(key)
+
+
 def _between(text: Column, pattern: str) -> Column:
     found = F.regexp_extract(text, pattern, 1)
     return F.when(found != "", found)
 
 
+_LAST = "\U0010ffff"
 _KEY = r"[0-9]{8}_s[0-9]+_[a-z]+_[a-z]+"
 
 
-def session_key(person_session: Column, sequence_name: Column, video_path: Column) -> Column:
-    """The key ``{date}_s{n}_{first}_{last}`` of an activity segment, or null.
+def own_key(person_session: Column) -> Column:
+    """The key that a person-session reads as, in lower case, without surrounding white space and with blanks, ``-``
+    and ``_`` unified; or null."""
+    own = F.regexp_replace(F.regexp_replace(F.lower(person_session), r"(?U)^\s+|\s+$", ""), r"(?U)[\s_-]+", "_")
+    return _between(own, rf"^({_KEY})\z")
 
-    It is taken from the sequence name, else from the first directory of the video path that reads so, else from
-    the person-session in lower case, without surrounding white space and with blanks, ``-`` and ``_`` unified.
+
+def session_reading(person_session: Column, sequence_name: Column, video_path: Column) -> Column:
+    """struct(spelling, name) of an activity segment: the text that its key ``{date}_s{n}_{first}_{last}`` is read from,
+    and the key; null if there is none.
+
+    It is read from the sequence name, else from the first directory of the video path that reads so, else from
+    the person-session.
     """
-    full = rf"({_KEY})_act[0-9]+_[a-z0-9]+"
-    own = F.regexp_replace(F.regexp_replace(F.lower(person_session), r"(?U)^\s+|\s+$", ""), r"(?U)[\s_-]+", "_")
-    return F.coalesce(_between(sequence_name, rf"^{full}\z"), _between(video_path, rf"(?:^|/){full}/"), _between(own, rf"^({_KEY})\z"))
+    act = r"_act[0-9]+_[a-z0-9]+"
+    named = _between(sequence_name, rf"^({_KEY}){act}\z")
+    folder = _between(video_path, rf"(?:^|/)({_KEY}{act})/")
+    own = own_key(person_session)
+
+    def read(spelling: Column, name: Column) -> Column:
+        return F.when(name.isNotNull(), F.struct(spelling.alias("spelling"), name.alias("name")))
+
+    return F.coalesce(read(sequence_name, named), read(folder, _between(folder, rf"^({_KEY})")), read(person_session, own))

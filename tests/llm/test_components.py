@@ -61,6 +61,14 @@ def test_hash_to_min_agrees(spark, shape):
     assert found == expected
 
 
+def test_every_record_has_a_group(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    records = spark.createDataFrame([(2,), (2,), (7,), (None,)], "a long")
+    found = connected_components(pairs, "a", "b", records=records, record="a").collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (2, 1), (3, 1), (7, 7)]
+    assert connected_components(pairs.limit(0), "a", "b", records=records, record="a").count() == 2
+
+
 def test_never_cut_off_silently(spark):
     with pytest.raises(RuntimeError):
         connected_components(spark.createDataFrame(SHAPES["chain"], "a long, b long"), "a", "b", max_rounds=1)

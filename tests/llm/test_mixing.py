@@ -26,6 +26,26 @@ def test_quotients(seed):
     assert sainte_lague(weights, seats, caps) == _brute(weights, seats, caps)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_quotients_of_many_parties(seed):
+    """Very uneven weights, where a party may get less than its share rounded down."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 120))
+    weights = [float(w) for w in rng.pareto(1.1, n)]
+    caps = [int(c) for c in rng.integers(0, 60 if seed % 2 else 10**6, n)]
+    seats = int(rng.integers(0, 600))
+    assert sainte_lague(weights, seats, caps) == _brute(weights, seats, caps)
+
+
+def test_known_breach_of_the_lower_quota():
+    assert sainte_lague([60.0] + [0.6] * 66, 100, [1000] * 67)[0] == 50
+
+
+def test_many_seats_take_no_time():
+    given = sainte_lague([0.3, 0.2, 0.5] * 100, 10**10, [10**12] * 300)
+    assert sum(given) == 10**10 and abs(given[0] - 3 * 10**7) <= 1
+
+
 def _documents(spark):
     rng = np.random.default_rng(1)
     rows = [(k, ["a", " A", "b", "b", "c-c", "C_c", None, "other"][k % 8], int(rng.integers(1, 60))) for k in range(2000)]
@@ -62,3 +82,25 @@ def test_nothing_to_mix(spark):
     mix = mix_sources(_documents(spark).limit(0), "doc", "source", "n", _targets(spark))
     assert mix.selection.count() == 0 and mix.shares.count() == 4
     assert mix_sources(_documents(spark), "doc", "source", "n", _targets(spark).limit(0)).selection.count() == 0
+
+
+def test_shards_of_a_large_source(spark, monkeypatch):
+    """With many shards the shares still hold, and a document of two sources counts once."""
+    from strandline.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_DOCUMENTS", 40)
+    again = spark.createDataFrame([(2, "c_c", 5), (None, "a", 7), (None, "a", 7)], "doc long, source string, n long")
+    mix = mix_sources(_documents(spark).unionByName(again), "doc", "source", "n", _targets(spark), block_tokens=16)
+    picked = mix.selection.collect()
+    assert len({r["doc"] for r in picked}) == len(picked)
+    shares = {r["source"]: r for r in mix.shares.collect()}
+    for s, goal in (("a", 0.5), ("b", 0.3), ("c_c", 0.1)):
+        assert shares[s]["actual_share"] == pytest.approx(goal / 0.9, abs=0.03)
+    assert [s for s, r in shares.items() if r["limiting"]] == ["a"]
+
+
+def test_a_tiny_source_leaves_one_block(spark):
+    rows = spark.createDataFrame([(1, "a", 3), (2, "b", 500), (3, "b", 100)], "doc long, source string, n long")
+    goals = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    shares = {r["source"]: r for r in mix_sources(rows, "doc", "source", "n", goals).shares.collect()}
+    assert shares["a"]["limiting"] and sum(r["tokens_taken"] for r in shares.values()) > 0

@@ -60,3 +60,21 @@ def test_prefix_merge_is_a_fold():
     for n in range(0, 20):
         items = [chr(97 + k) for k in range(n)]
         assert prefix_merge(items, lambda a, b: a + b) == [None if k == 0 else "".join(items[:k]) for k in range(n)]
+
+
+@pytest.mark.parametrize("unit, origin", [(1_000_000, 1_700_000_000_000_000), (1_000_000_000, 1_700_000_000_000_000_000), (1_000, -90_000_000), (1, -(2**63) + 1), (1, 2**63 - 20_001)])
+def test_times_of_any_unit(spark, unit, origin):
+    """Every other event opens a run of its own label, in one batch: epoch micro- and nanoseconds, times before zero, the ends of 64 bits."""
+    rng = np.random.default_rng(3)
+    rows = [("s", int(rng.integers(1, 3)), origin + 2 * k * unit, origin + (2 * k + int(rng.integers(1, 4))) * unit, k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "seq string, lab int, s long, e long, t long")
+    assert _run(df, unit) == _brute(rows, unit)
+
+
+def test_longest_durations_and_refusals(spark):
+    df = spark.createDataFrame([("a", 1, -(2**63), 2**63 - 1, 1)], "seq string, lab int, s long, e long, t long")
+    assert collapse_runs(df, "seq", "lab", "s", "e", "t", 6).first()["duration"] is None
+    with pytest.raises(TypeError):
+        collapse_runs(df.withColumn("s", df.s.cast("double")), "seq", "lab", "s", "e", "t", 6)
+    with pytest.raises(ValueError):
+        collapse_runs(df, "seq", "lab", "s", "e", "t", -1)

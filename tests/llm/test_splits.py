@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 import pytest
 
-from strandline.llm.splits import assign_splits, rendezvous, session_key, split_targets
+from strandline.llm.splits import assign_splits, consolidate, rendezvous, session_reading, split_targets
 
 TARGETS = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
 
@@ -55,5 +55,18 @@ def test_session_keys(spark):
         ("20260102_s0_ab_cd", key + "_act1_9f", None, key),
     ]
     df = spark.createDataFrame(rows, "p string, s string, v string, want string")
-    for r in df.select("want", session_key(F.col("p"), F.col("s"), F.col("v")).alias("k")).collect():
-        assert r["k"] == r["want"]
+    read = df.withColumn("read", session_reading(F.col("p"), F.col("s"), F.col("v")))
+    for r in read.select("want", "read.*").collect():
+        assert r["name"] == r["want"] and (r["spelling"] is None) == (r["want"] is None)
+    out = consolidate(read.withColumn("key", F.lit(0)), F.col("read.spelling"), F.col("read.name"), "key").collect()
+    assert len(out) == len(rows) and all(r["key_1"] == r["want"] and r["key"] == 0 for r in out)
+    assert consolidate(read.limit(0), F.col("read.spelling"), F.col("read.name"), "key").count() == 0
+
+
+def test_keys_come_from_the_components(spark, data, monkeypatch):
+    from strandline.llm import queries, splits
+
+    assert queries.p4_found(spark, data).count() > 0
+    empty = spark.createDataFrame([], "entity string, component string")
+    monkeypatch.setattr(splits, "hash_to_min", lambda *a, **k: empty)
+    assert queries.p4_found(spark, data).count() == 0
