@@ -154,7 +154,12 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d).select("doc_id", "restored")
 
 
+def p8_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents by how they were found: only utf-8, single-byte and wide are strict round trips."""
+    return _repaired(spark, d).groupBy(F.concat_ws(", ", "routes").alias("routes")).agg(F.count_distinct("doc_id").alias("n_documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_groups, p3_found, p3_ranked, p4_found, p4_activity, p4_maneuver, p4_clusters, p4_shares, p6_ids, p7_selection, p7_shares, p7_char_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_groups, p3_found, p3_ranked, p4_found, p4_activity, p4_maneuver, p4_clusters, p4_shares, p6_ids, p7_selection, p7_shares, p7_char_shares, p8_found, p8_restored, p8_routes)}
 
 
