@@ -187,7 +187,7 @@ SELECT person_session, activity_id, sequence_name FROM p WHERE person_session <>
 QUERIES["join_person_pairs"] = lambda s, d: within_group_pairs(R.activity_sequences(table(s, d, "activity_segments").groupBy("sequence_name").agg(F.max("end_sec").alias("duration")), "sequence_name", "duration"), "person_session", "sequence_name", "activity_id").select("person_session", "sequence_name_a", "sequence_name_b", "gt")
 SQL["join_person_pairs"] = f"WITH z AS ({SQL['src_session_regex']}) SELECT a.person_session, a.sequence_name AS sequence_name_a, b.sequence_name AS sequence_name_b, CAST(a.activity_id = b.activity_id AS INTEGER) AS gt FROM z a JOIN z b ON a.person_session = b.person_session AND a.sequence_name < b.sequence_name"
 QUERIES["src_aria_gps"] = lambda s, d: R.device_positions(table(s, d, "maneuver_segments").select((F.col("start_frame").cast("long") * 333).alias("utc_time_ms"), F.col("lat").alias("latitude"), F.col("lng").alias("longitude"), (F.col("segment_id") % 150).cast("double").alias("accuracy"))).select(F.round("sec", 3).alias("sec"), "latitude", "longitude", "accuracy").distinct()
-SQL["src_aria_gps"] = "SELECT DISTINCT round(CAST(start_frame AS BIGINT) * 333 / 1000.0, 3) AS sec, lat AS latitude, lng AS longitude, CAST(segment_id % 150 AS DOUBLE) AS accuracy FROM maneuver_segments WHERE NOT (lat = 0 AND lng = 0) AND CAST(start_frame AS BIGINT) * 333 > 0 AND segment_id % 150 <= 100"
+SQL["src_aria_gps"] = "SELECT DISTINCT round(CAST(start_frame AS BIGINT) * 333 / 1000.0, 3) AS sec, CASE WHEN isfinite(lat) THEN lat END AS latitude, CASE WHEN isfinite(lng) THEN lng END AS longitude, CAST(segment_id % 150 AS DOUBLE) AS accuracy FROM maneuver_segments WHERE NOT (lat = 0 AND lng = 0) AND CAST(start_frame AS BIGINT) * 333 > 0 AND segment_id % 150 <= 100"
 
 
 def imu(s, d):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.catalog.base import ITEMS, items, r6
@@ -11,7 +11,7 @@ from strandline.operators import fusion as U
 from strandline.operators import metrics as M
 from strandline.operators import pairs as P
 from strandline.operators.comparators import score_pairs
-from strandline.operators.gallery import gallery_scores
+from strandline.operators.gallery import gallery_best, gallery_ranks, gallery_scores
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -89,6 +89,28 @@ def gallery(s: SparkSession, d: str) -> DataFrame:
     return P.with_relevance(scores, "cluster", "kind")
 
 
+def both_ways(s: SparkSession, d: str) -> DataFrame:
+    """(query_id, cand_id, sim, dist, rel) of all pairs of a cluster, in either direction."""
+    ps = pair_scores(s, d)
+    rest = ("sim", "dist", F.col("gt").alias("rel"))
+    return ps.select(F.col("item_a").alias("query_id"), F.col("item_b").alias("cand_id"), *rest).unionByName(ps.select(F.col("item_b").alias("query_id"), F.col("item_a").alias("cand_id"), *rest))
+
+
+def relevant_ranks(s: SparkSession, d: str) -> DataFrame:
+    """(query_id, cand_id, sim, rank) of every relevant candidate among all items."""
+    it = items(s, d)
+    return gallery_ranks(it, it, both_ways(s, d).where("rel = 1").select("query_id", "cand_id", "sim"), "item", "v")
+
+
+def best(s: SparkSession, d: str, k: int) -> DataFrame:
+    """The k best candidates of every query, with clusters, kinds and relevance."""
+    it = items(s, d)
+    scores = gallery_best(it, it, "item", "v", k, 16).drop("rank").withColumn("dist", F.round("dist", 6))
+    for side in ("query", "cand"):
+        scores = scores.join(it.select(F.col("item").alias(f"{side}_id"), F.col("cluster").alias(f"{side}_cluster"), F.col("kind").alias(f"{side}_kind")), f"{side}_id")
+    return P.with_relevance(scores, "cluster", "kind")
+
+
 GALLERY = f"""g AS (SELECT a.item AS query_id, b.item AS cand_id, {DOT.format(a='a', b='b')} AS sim, {DIST.format(a='a', b='b')} AS dist,
   a.cluster AS query_cluster, b.cluster AS cand_cluster, a.kind AS query_kind, b.kind AS cand_kind, CAST(a.cluster = b.cluster AND a.kind = b.kind AS INTEGER) AS rel
   FROM items a JOIN items b ON a.item <> b.item)"""
@@ -96,33 +118,27 @@ GW = f"WITH {ITEMS}, {GALLERY}"
 _TOTALS = "(SELECT query_id, cand_id, sim, dist, rel FROM g)"
 QUERIES["join_directed_gallery"] = lambda s, d: gallery(s, d).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("rel").alias("n_rel"), r6(F.sum("sim")).alias("total"), r6(F.sum("dist")).alias("total_dist"))
 SQL["join_directed_gallery"] = f"{GW} SELECT query_id, count(*) AS n, CAST(sum(rel) AS BIGINT) AS n_rel, round(sum(sim), 6) + 0.0 AS total, round(sum(dist), 6) + 0.0 AS total_dist FROM g GROUP BY query_id"
-QUERIES["join_relevance"] = lambda s, d: P.eligible(gallery(s, d), "query_id").where("rel = 1").select("query_id", "cand_id")
+QUERIES["join_relevance"] = lambda s, d: both_ways(s, d).where("rel = 1").select("query_id", "cand_id")
 SQL["join_relevance"] = f"{GW} SELECT query_id, cand_id FROM g WHERE rel = 1"
 _METRICS = ("ap", "rr", "ap_5", "recall_5", "ndcg_5", "ap_20", "recall_20", "ndcg_20")
-QUERIES["rank_metrics"] = lambda s, d: M.query_metrics(gallery(s, d), "query_id", "cand_id", "sim", ks=(5, 20)).select("query_id", "n_rel", *(r6(c).alias(c) for c in _METRICS))
+QUERIES["rank_metrics"] = lambda s, d: M.metrics_of_ranks(relevant_ranks(s, d), ["query_id"], "rank", (5, 20)).select("query_id", "n_rel", *(r6(c).alias(c) for c in _METRICS))
 _AT = "round(coalesce(sum(h / CAST(r AS DOUBLE)) FILTER (r <= {k}), 0) / count(*), 6) + 0.0 AS ap_{k}, round(count(*) FILTER (r <= {k}) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS recall_{k}, round(coalesce(sum(1 / log2(r + 1)) FILTER (r <= {k}), 0) / list_sum(list_transform(range(1, least({k}, count(*)) + 1), lambda i: 1 / log2(i + 1))), 6) + 0.0 AS ndcg_{k}"
 RANKED = "r AS (SELECT query_id, rel, row_number() OVER w AS r, sum(rel) OVER w AS h FROM g WINDOW w AS (PARTITION BY query_id ORDER BY {by}, cand_id))"
 SQL["rank_metrics"] = f"{GW}, {RANKED.format(by='sim DESC')} SELECT query_id, count(*) AS n_rel, round(sum(h / CAST(r AS DOUBLE)) / count(*), 6) + 0.0 AS ap, round(1.0 / min(r), 6) + 0.0 AS rr, {_AT.format(k=5)}, {_AT.format(k=20)} FROM r WHERE rel = 1 GROUP BY query_id"
 for _name, _column in (("ap_at_k", "ap_5"), ("recall_at_k", "recall_5"), ("ndcg_at_k", "ndcg_5"), ("mrr", "rr")):
-    QUERIES[_name] = lambda s, d, c=_column: M.query_metrics(gallery(s, d), "query_id", "cand_id", "sim", ks=(5,)).agg(r6(F.avg(c)).alias("mean"))
+    QUERIES[_name] = lambda s, d, c=_column: M.metrics_of_ranks(relevant_ranks(s, d), ["query_id"], "rank", (5,)).agg(r6(F.avg(c)).alias("mean"))
     SQL[_name] = f"WITH m AS ({SQL['rank_metrics'].replace(', 6) + 0.0', ', 15) + 0.0')}) SELECT round(avg({_column}), 6) + 0.0 AS mean FROM m"
 
 
-def _truncated(s, d):
-    g = M.ranked(gallery(s, d).where("rel is not null"), "query_id", "sim", "cand_id")
-    totals = g.groupBy("query_id").agg(F.sum("rel").alias("total"))
-    return M.truncated_ap(g.where("rank <= 25").join(totals, "query_id"), ["query_id"], "rank", "rel", "total").where(~F.isnan("ap")).select("query_id", r6("ap").alias("ap"))
-
-
-QUERIES["ap_truncated"] = _truncated
+QUERIES["ap_truncated"] = lambda s, d: M.metrics_of_ranks(relevant_ranks(s, d), ["query_id"], "rank", (25,)).select("query_id", r6("ap_25").alias("ap"))
 SQL["ap_truncated"] = f"{GW}, {RANKED.format(by='sim DESC')} SELECT query_id, round(coalesce(sum(h / CAST(r AS DOUBLE)) FILTER (rel = 1 AND r <= 25), 0) / sum(rel), 6) + 0.0 AS ap FROM r GROUP BY query_id HAVING sum(rel) > 0"
-QUERIES["retrieval_cluster_local"] = lambda s, d: M.query_metrics(gallery(s, d).where("query_cluster = cand_cluster").withColumn("n_all", F.count("*").over(Window.partitionBy("query_id"))), "query_id", "cand_id", "sim").select("query_id", r6("ap").alias("ap"), r6("rr").alias("rr"))
+QUERIES["retrieval_cluster_local"] = lambda s, d: M.query_metrics(both_ways(s, d), "query_id", "cand_id", "sim").select("query_id", r6("ap").alias("ap"), r6("rr").alias("rr"))
 SQL["retrieval_cluster_local"] = f"{GW.replace('ON a.item <> b.item', 'ON a.item <> b.item AND a.cluster = b.cluster')}, {RANKED.format(by='sim DESC')} SELECT query_id, round(sum(h / CAST(r AS DOUBLE)) / count(*), 6) + 0.0 AS ap, round(1.0 / min(r), 6) + 0.0 AS rr FROM r WHERE rel = 1 GROUP BY query_id"
-QUERIES["outcome_composition"] = lambda s, d: U.outcome_composition(gallery(s, d), "query_id", "cand_id", "sim", (1, 10)).select("k", *(r6(c).alias(c) for c in ("relevant", "same_cluster_wrong_label", "wrong_cluster")))
+QUERIES["outcome_composition"] = lambda s, d: U.outcome_composition(best(s, d, 10), "query_id", "cand_id", "sim", (1, 10)).select("k", *(r6(c).alias(c) for c in ("relevant", "same_cluster_wrong_label", "wrong_cluster")))
 _TOP = "t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cand_id) AS r FROM g), u AS (SELECT t.*, k FROM t JOIN (VALUES (1), (10)) AS ks(k) ON r <= k), o AS (SELECT query_id, k, CASE WHEN rel = 1 THEN 'relevant' WHEN query_cluster = cand_cluster THEN 'same_cluster_wrong_label' ELSE 'wrong_cluster' END AS outcome FROM u)"
 SQL["outcome_composition"] = f"""{GW}, {_TOP}, q AS (SELECT query_id, k, avg(CAST(outcome = 'relevant' AS INTEGER)) AS a, avg(CAST(outcome = 'same_cluster_wrong_label' AS INTEGER)) AS b, avg(CAST(outcome = 'wrong_cluster' AS INTEGER)) AS c FROM o GROUP BY query_id, k)
 SELECT k, round(avg(a), 6) + 0.0 AS relevant, round(avg(b), 6) + 0.0 AS same_cluster_wrong_label, round(avg(c), 6) + 0.0 AS wrong_cluster FROM q GROUP BY k"""
-QUERIES["join_outcome_class"] = lambda s, d: U.outcome_rows(gallery(s, d), "query_id", "cand_id", "sim", (1, 10)).groupBy("query_id", "k", "outcome").agg(F.count("*").alias("n"))
+QUERIES["join_outcome_class"] = lambda s, d: U.outcome_rows(best(s, d, 10), "query_id", "cand_id", "sim", (1, 10)).groupBy("query_id", "k", "outcome").agg(F.count("*").alias("n"))
 SQL["join_outcome_class"] = f"{GW}, {_TOP} SELECT query_id, k, outcome, count(*) AS n FROM o GROUP BY ALL"
 QUERIES["zscore_row"] = lambda s, d: U.zscores(gallery(s, d), "query_id", "sim", "z").groupBy("query_id").agg(r6(F.max("z")).alias("top"), r6(F.min("z")).alias("low"), r6(F.stddev_pop("z")).alias("std"))
 SQL["zscore_row"] = f"{GW}, z AS (SELECT query_id, (sim - avg(sim) OVER w) / stddev_pop(sim) OVER w AS z FROM g WINDOW w AS (PARTITION BY query_id)) SELECT query_id, round(max(z), 6) + 0.0 AS top, round(min(z), 6) + 0.0 AS low, round(stddev_pop(z), 6) + 0.0 AS std FROM z GROUP BY query_id"
@@ -131,7 +147,14 @@ QUERIES["fuse_alpha"] = lambda s, d: U.fuse(gallery(s, d), "query_id", "sim", "d
 SQL["fuse_alpha"] = f"{GW}, {_FUSED.format(g='g', a=0.3)} SELECT query_id, round(max(raw), 5) + 0.0 AS top, round(min(raw), 5) + 0.0 AS low FROM f GROUP BY query_id"
 QUERIES["eval_fused_queries"] = lambda s, d: U.fused_metrics(gallery(s, d), "query_id", "cand_id", "sim", "dist", 0.7, excluded_cluster=3).select("query_id", r6("ap").alias("ap"), r6("rr").alias("rr"))
 SQL["eval_fused_queries"] = f"{GW}, h AS (SELECT * FROM g WHERE query_cluster <> 3 AND cand_cluster <> 3), {_FUSED.format(g='h', a=0.7)}, r AS (SELECT query_id, rel, row_number() OVER w AS r, sum(rel) OVER w AS h FROM f WINDOW w AS (PARTITION BY query_id ORDER BY fused DESC, cand_id)) SELECT query_id, round(sum(h / CAST(r AS DOUBLE)) / count(*), 6) + 0.0 AS ap, round(1.0 / min(r), 6) + 0.0 AS rr FROM r WHERE rel = 1 GROUP BY query_id"
-QUERIES["cascade_rerank"] = lambda s, d: U.cascade(gallery(s, d), "query_id", "cand_id", "sim", "dist", "rel", (5, 25)).groupBy("k").agg(r6(F.avg("ap")).alias("ap"), r6(F.avg("recall")).alias("recall"), r6(F.avg("rr")).alias("rr"))
+
+
+def _cascade(s, d):
+    totals = both_ways(s, d).groupBy("query_id").agg(F.sum("rel").alias("n_rel"))
+    return U.cascade(best(s, d, 25).join(totals, "query_id"), "query_id", "cand_id", "sim", "dist", "rel", (5, 25), "n_rel")
+
+
+QUERIES["cascade_rerank"] = lambda s, d: _cascade(s, d).groupBy("k").agg(r6(F.avg("ap")).alias("ap"), r6(F.avg("recall")).alias("recall"), r6(F.avg("rr")).alias("rr"))
 SQL["cascade_rerank"] = f"""{GW}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cand_id) AS fst, sum(rel) OVER (PARTITION BY query_id) AS total FROM g),
 c AS (SELECT p.*, k FROM p JOIN (VALUES (5), (25)) AS ks(k) ON fst <= k WHERE total > 0),
 r AS (SELECT query_id, k, rel, total, row_number() OVER w AS r, sum(rel) OVER w AS h FROM c WINDOW w AS (PARTITION BY query_id, k ORDER BY dist, cand_id)),
@@ -147,10 +170,10 @@ def _loco_rows(s, d, grid):
 
 
 QUERIES["loco_alpha"] = lambda s, d: _loco_rows(s, d, GRID5)
-SQL["loco_alpha"] = f"""{GW}, folds AS (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS fold),
+_LOCO = f"""{GW}, folds AS (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS fold),
 gf AS (SELECT fold, g.* FROM g JOIN folds ON fold = query_cluster OR fold <> cand_cluster),
 z AS (SELECT fold, query_id, cand_id, query_cluster, rel, (sim - avg(sim) OVER w) / stddev_pop(sim) OVER w AS zs, (-dist - avg(-dist) OVER w) / stddev_pop(-dist) OVER w AS zd FROM gf WINDOW w AS (PARTITION BY fold, query_id)),
-f AS (SELECT fold, alpha, query_id, cand_id, query_cluster, rel, round(alpha * zs + (1 - alpha) * zd, 9) AS s FROM z CROSS JOIN (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS alpha)),
+f AS (SELECT fold, alpha, query_id, cand_id, query_cluster, rel, round(alpha * zs + (1 - alpha) * zd, 9) AS s FROM z CROSS JOIN (SELECT unnest([{{grid}}]) AS alpha)),
 r AS (SELECT fold, alpha, query_id, query_cluster, rel, row_number() OVER w AS r, sum(rel) OVER w AS h FROM f WINDOW w AS (PARTITION BY fold, alpha, query_id ORDER BY s DESC, cand_id)),
 q AS (SELECT fold, alpha, query_id, query_cluster, sum(h / CAST(r AS DOUBLE)) / count(*) AS ap FROM r WHERE rel = 1 GROUP BY ALL),
 c AS (SELECT fold, alpha, avg(ap) FILTER (query_cluster <> fold) AS map, avg(ap) FILTER (query_cluster = fold) AS test_map, count(*) FILTER (query_cluster = fold) AS n_test FROM q GROUP BY fold, alpha),
@@ -158,7 +181,9 @@ b AS (SELECT fold, max(map) AS top FROM c GROUP BY fold),
 t AS (SELECT fold, list(alpha ORDER BY alpha) AS a FROM c JOIN b USING (fold) WHERE map >= top - 1e-12 GROUP BY fold),
 p AS (SELECT fold, CASE WHEN len(list_filter(a, lambda x: x IN (0, 1))) = 1 THEN list_filter(a, lambda x: x IN (0, 1))[1] ELSE a[(len(a) - 1) // 2 + 1] END AS alpha FROM t)
 SELECT fold, alpha, round(map, 6) + 0.0 AS training_map, round(test_map, 6) + 0.0 AS test_map, n_test FROM p JOIN c USING (fold, alpha)"""
+SQL["loco_alpha"] = _LOCO.replace("{grid}", ", ".join(f"{a}::DOUBLE" for a in GRID5))
 QUERIES["loco_alpha_21"] = lambda s, d: _loco_rows(s, d, GRID21)
+SQL["loco_alpha_21"] = _LOCO.replace("{grid}", ", ".join(f"{a}::DOUBLE" for a in GRID21))
 
 
 def _select_alpha(s, d):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.catalog.base import EVENTS, ITEMS, items, r6, user_events
-from strandline.catalog.rankings import WITH, gallery, pair_scores
+from strandline.catalog.rankings import WITH, pair_scores, relevant_ranks
 from strandline.functions import parse
 from strandline.operators import learn as L
 from strandline.operators import metrics as M
@@ -91,7 +91,7 @@ SQL["set_except"] = f"WITH {EVENTS} SELECT user_id, k FROM ev WHERE event_type =
 
 
 def _per_query(s, d):
-    m = M.query_metrics(gallery(s, d), "query_id", "cand_id", "sim").select("query_id", "ap", "rr")
+    m = M.metrics_of_ranks(relevant_ranks(s, d), ["query_id"], "rank").select("query_id", "ap", "rr")
     return m.join(items(s, d).select(F.col("item").alias("query_id"), "cluster"), "query_id")
 
 
@@ -160,12 +160,12 @@ QUERIES["stream_run_segments"] = _runs
 
 
 def _stream_gallery(s, d):
-    from strandline.operators.gallery import gallery_scores
+    from strandline.operators.gallery import gallery_best
 
     it = items(s, d)
     path = f"{shared_root(s)}/strandline-gallery-{uuid.uuid4().hex}"
     queries = Z.file_stream(s, f"{d}/embeddings.parquet", table(s, d, "embeddings").schema).select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("v"))
-    return Z.best_of_gallery(queries, it, path, lambda q, g: gallery_scores(q, g, "item", "v").withColumn("sim", F.round("sim", 6)), 3)
+    return Z.best_of_gallery(queries, it, path, lambda q, g: gallery_best(q, g, "item", "v", 3), 3)
 
 
 QUERIES["stream_topk_gallery"] = _stream_gallery

@@ -97,13 +97,14 @@ def held_out_fusion(gallery: DataFrame, folds: Sequence[int], grid: Sequence[flo
     return chosen.join(tested, ["fold", "alpha"], "left").fillna(0, ["n_test"])
 
 
-def cascade(gallery: DataFrame, query: str, cand: str, sim: str, dist: str, rel: str, ks: Sequence[int]) -> DataFrame:
+def cascade(gallery: DataFrame, query: str, cand: str, sim: str, dist: str, rel: str, ks: Sequence[int], total: str | None = None) -> DataFrame:
     """(query, k, ap, recall, rr): the k most similar candidates, put in order of rising distance.
 
-    AP and recall are over all relevant items of the query; queries without any are left out.
+    AP and recall are over all relevant items of the query; queries without any are left out.  With ``total``, the number of
+    these, the gallery need only hold each query's best candidates.
     """
     w = Window.partitionBy(query)
-    rows = gallery.withColumn("first__", F.row_number().over(w.orderBy(F.desc(sim), cand))).withColumn("total__", F.sum(rel).over(w)).where(F.col("total__") > 0)
+    rows = gallery.withColumn("first__", F.row_number().over(w.orderBy(F.desc(sim), cand))).withColumn("total__", F.col(total) if total else F.sum(rel).over(w)).where(F.col("total__") > 0)
     cut = rows.where(F.col("first__") <= max(ks)).withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks)))).where(F.col("first__") <= F.col("k"))
     order = Window.partitionBy(query, "k").orderBy(dist, cand)
     placed = cut.select(query, "k", rel, "total__", F.row_number().over(order).alias("r"), F.sum(rel).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("h"))

@@ -106,14 +106,19 @@ def query_metrics(gallery: DataFrame, query: str, cand: str, score: str, rel: st
     order = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
     w = Window.partitionBy(*part).orderBy(order, cand)
     rows = gallery.select(*part, F.col(rel).cast("long").alias("rel"), F.row_number().over(w).alias("r"), F.sum(F.col(rel).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("h"))
-    # only relevant rows matter from here on
-    hit = rows.where("rel = 1")
+    return metrics_of_ranks(rows.where("rel = 1"), part, "r", ks, "h")
+
+
+def metrics_of_ranks(hit: DataFrame, keys: Sequence[str], rank: str, ks: Sequence[int] = (), hits: str | None = None) -> DataFrame:
+    """The same metrics from the relevant rows alone, with their ``rank`` among all; ``hits``: relevant ones so far, if known."""
+    so_far = F.col(hits) if hits else F.row_number().over(Window.partitionBy(*keys).orderBy(rank))
+    hit = hit.select(*keys, F.col(rank).alias("r"), so_far.alias("h"))
     aggs = [F.count("*").alias("n_rel"), F.sum(F.col("h") / F.col("r")).alias("g"), F.min("r").alias("first")]
     for k in ks:
         within = F.col("r") <= k
         aggs += [F.sum(F.when(within, F.col("h") / F.col("r")).otherwise(0.0)).alias(f"g{k}"), F.sum(within.cast("int")).alias(f"h{k}"), F.sum(F.when(within, 1 / F.log2(F.col("r") + 1)).otherwise(0.0)).alias(f"d{k}")]
-    stats = hit.groupBy(*part).agg(*aggs)
-    out = [*part, (F.col("g") / F.col("n_rel")).alias("ap"), (1 / F.col("first")).alias("rr"), "n_rel"]
+    stats = hit.groupBy(*keys).agg(*aggs)
+    out = [*keys, (F.col("g") / F.col("n_rel")).alias("ap"), (1 / F.col("first")).alias("rr"), "n_rel"]
     for k in ks:
         ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n_rel").cast("int"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
         out += [(F.col(f"g{k}") / F.col("n_rel")).alias(f"ap_{k}"), (F.col(f"h{k}") / F.col("n_rel")).alias(f"recall_{k}"), (F.col(f"d{k}") / ideal).alias(f"ndcg_{k}")]

@@ -159,9 +159,10 @@ def activity_sequences(names: DataFrame, name: str, duration: str, longest: floa
 
 
 def device_positions(raw: DataFrame) -> DataFrame:
-    """(sec, latitude, longitude, accuracy): no (0, 0), UTC above 0, accuracy up to 100; milliseconds to seconds."""
+    """(sec, latitude, longitude, accuracy): no (0, 0), UTC above 0, accuracy up to 100; milliseconds to seconds.
+    A coordinate that is no finite number is null."""
     ok = ~((F.col("latitude") == 0) & (F.col("longitude") == 0)) & (F.col("utc_time_ms") > 0) & (F.col("accuracy") <= 100)
-    return raw.where(ok).select((F.col("utc_time_ms") / 1000).alias("sec"), "latitude", "longitude", "accuracy")
+    return raw.where(ok).select((F.col("utc_time_ms") / 1000).alias("sec"), *(F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) for c in ("latitude", "longitude")), "accuracy")
 
 
 def device_motion(raw: DataFrame, offset: float) -> DataFrame:
