@@ -125,6 +125,7 @@ QUERIES["rank_metrics"] = lambda s, d: M.metrics_of_ranks(relevant_ranks(s, d),
 _AT = "round(coalesce(sum(h / CAST(r AS DOUBLE)) FILTER (r <= {k}), 0) / count(*), 6) + 0.0 AS ap_{k}, round(count(*) FILTER (r <= {k}) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS recall_{k}, round(coalesce(sum(1 / log2(r + 1)) FILTER (r <= {k}), 0) / list_sum(list_transform(range(1, least({k}, count(*)) + 1), lambda i: 1 / log2(i + 1))), 6) + 0.0 AS ndcg_{k}"
 RANKED = "r AS (SELECT query_id, rel, row_number() OVER w AS r, sum(rel) OVER w AS h FROM g WINDOW w AS (PARTITION BY query_id ORDER BY {by}, cand_id))"
 SQL["rank_metrics"] = f"{GW}, {RANKED.format(by='sim DESC')} SELECT query_id, count(*) AS n_rel, round(sum(h / CAST(r AS DOUBLE)) / count(*), 6) + 0.0 AS ap, round(1.0 / min(r), 6) + 0.0 AS rr, {_AT.format(k=5)}, {_AT.format(k=20)} FROM r WHERE rel = 1 GROUP BY query_id"
+RANK_METRICS_EXACT = SQL["rank_metrics"].replace(", 6) + 0.0", ", 15) + 0.0")
 for _name, _column in (("ap_at_k", "ap_5"), ("recall_at_k", "recall_5"), ("ndcg_at_k", "ndcg_5"), ("mrr", "rr")):
     QUERIES[_name] = lambda s, d, c=_column: M.metrics_of_ranks(relevant_ranks(s, d), ["query_id"], "rank", (5,)).agg(r6(F.avg(c)).alias("mean"))
     SQL[_name] = f"WITH m AS ({SQL['rank_metrics'].replace(', 6) + 0.0', ', 15) + 0.0')}) SELECT round(avg({_column}), 6) + 0.0 AS mean FROM m"

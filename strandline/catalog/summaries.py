@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.catalog.base import EVENTS, ITEMS, items, r6, user_events
-from strandline.catalog.rankings import WITH, pair_scores, relevant_ranks
+from strandline.catalog.rankings import RANK_METRICS_EXACT, WITH, pair_scores, relevant_ranks
 from strandline.functions import parse
 from strandline.operators import learn as L
 from strandline.operators import metrics as M
@@ -87,7 +87,7 @@ SQL["set_intersect"] = f"WITH {EVENTS} SELECT user_id, k FROM ev WHERE event_typ
 QUERIES["set_except"] = lambda s, d: user_events(s, d).where("event_type = 'click'").select("user_id", "k").exceptAll(user_events(s, d).where("event_type = 'view'").select("user_id", "k"))
 SQL["set_except"] = f"WITH {EVENTS} SELECT user_id, k FROM ev WHERE event_type = 'click' EXCEPT ALL SELECT user_id, k FROM ev WHERE event_type = 'view'"
 
-# resampling and learning: generator streams differ from engine to engine, so these have no SQL
+# resampling: draws by md5, so SQL can repeat them
 
 
 def _per_query(s, d):
@@ -95,34 +95,59 @@ def _per_query(s, d):
     return m.join(items(s, d).select(F.col("item").alias("query_id"), "cluster"), "query_id")
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 _methods = lambda s, d: pair_scores(s, d).withColumn("near", -F.col("dist"))
-QUERIES["boot_ap_pairs"] = lambda s, d: B.pair_interval(pair_scores(s, d), "sim", "gt", "ap", 500)
-QUERIES["boot_auc_pairs"] = lambda s, d: B.pair_interval(pair_scores(s, d), "sim", "gt", "auc", 500, seed=43)
-QUERIES["boot_mean"] = lambda s, d: B.cluster_mean(_per_query(s, d), "query_id", "ap", 500)
-QUERIES["boot_cluster_mean"] = lambda s, d: B.cluster_mean(_per_query(s, d), "cluster", "ap")
-QUERIES["boot_paired_mean_diff"] = lambda s, d: B.paired_mean_difference(_per_query(s, d), "cluster", "ap", "rr")
-QUERIES["boot_cluster_ap"] = lambda s, d: B.cluster_ap_interval(B.cluster_ap(_methods(s, d), "cluster", ["sim", "near"], "gt", 50))
-QUERIES["boot_paired_ap_diff"] = lambda s, d: B.paired_ap_difference(B.cluster_ap(_methods(s, d), "cluster", ["sim", "near"], "gt", 50), "sim", "near")
+QUERIES["boot_mean"] = lambda s, d: _rounded(B.cluster_mean(_per_query(s, d), "query_id", "ap", draws="md5"))
+QUERIES["boot_cluster_mean"] = lambda s, d: _rounded(B.cluster_mean(_per_query(s, d), "cluster", "ap", draws="md5"))
+QUERIES["boot_paired_mean_diff"] = lambda s, d: _rounded(B.paired_mean_difference(_per_query(s, d), "cluster", "ap", "rr", draws="md5"))
+_MEANS = f"""WITH m AS ({RANK_METRICS_EXACT}), x AS (SELECT m.query_id, vec.label AS cluster, ap, rr FROM m JOIN embeddings vec ON vec.vec_id = m.query_id)"""
+
+
+def _boot_sql(cluster: str, value: str, name: str = "") -> str:
+    """CTEs of the resampled mean: one row of point, ci_low, ci_high, n_clusters in b{name}."""
+    return f"""c{name} AS (SELECT row_number() OVER (ORDER BY {cluster}) - 1 AS place, sum({value}) AS s, count(*) AS n FROM x GROUP BY {cluster}),
+d{name} AS (SELECT r, ('0x' || substr(md5('42|' || r || '|' || (i // 4)), 1 + 8 * (i % 4), 8))::BIGINT % k AS place
+  FROM (SELECT k, unnest(range(0, k)) AS i FROM (SELECT count(*) AS k FROM c{name})), (SELECT unnest(range(0, 2000)) AS r)),
+w{name} AS (SELECT r, sum(s) / sum(n) AS v FROM d{name} JOIN c{name} USING (place) GROUP BY r),
+b{name} AS (SELECT (SELECT sum(s) / sum(n) FROM c{name}) AS point, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, (SELECT count(*) FROM c{name}) AS n_clusters FROM w{name})"""
+
+
+_ROUNDED = "SELECT round(point, 6) + 0.0 AS {point}, round(ci_low, 6) + 0.0 AS ci_low, round(ci_high, 6) + 0.0 AS ci_high, n_clusters FROM b"
+SQL["boot_mean"] = f"{_MEANS}, {_boot_sql('query_id', 'ap')} {_ROUNDED.format(point='point')}"
+SQL["boot_cluster_mean"] = f"{_MEANS}, {_boot_sql('cluster', 'ap')} {_ROUNDED.format(point='point')}"
+SQL["boot_paired_mean_diff"] = f"{_MEANS}, {_boot_sql('cluster', 'ap - rr')} {_ROUNDED.format(point='difference')}"
 
 
 def _width(s, d):
-    wide = B.cluster_mean(_per_query(s, d), "cluster", "ap", 500).select((F.col("ci_high") - F.col("ci_low")).alias("w"))
-    narrow = B.cluster_mean(_per_query(s, d), "query_id", "ap", 500).select((F.col("ci_high") - F.col("ci_low")).alias("n"))
-    return wide.join(narrow, F.lit(True)).select(B.width_ratio(F.col("w"), F.col("n")).alias("ratio"))
+    rows = _per_query(s, d)
+    wide = B.cluster_mean(rows, "cluster", "ap", draws="md5").select((F.col("ci_high") - F.col("ci_low")).alias("w"))
+    narrow = B.cluster_mean(rows, "query_id", "ap", draws="md5").select((F.col("ci_high") - F.col("ci_low")).alias("n"))
+    return wide.join(narrow, F.lit(True)).select(F.round(B.width_ratio(F.col("w"), F.col("n")), 4).alias("ratio"))  # a row each
 
 
 QUERIES["boot_width_ratio"] = _width
+SQL["boot_width_ratio"] = f"{_MEANS}, {_boot_sql('cluster', 'ap', 'w')}, {_boot_sql('query_id', 'ap', 'n')} SELECT round((bw.ci_high - bw.ci_low) / greatest(bn.ci_high - bn.ci_low, 1e-9), 4) AS ratio FROM bw, bn"
+
+# pooled curves of thousands of replicates, and fitted models: SQL is too slow or can't; compared with loops in tests
+
+QUERIES["boot_ap_pairs"] = lambda s, d: B.pair_interval(pair_scores(s, d), "sim", "gt", "ap")
+QUERIES["boot_auc_pairs"] = lambda s, d: B.pair_interval(pair_scores(s, d), "sim", "gt", "auc", 2000, seed=43)
+QUERIES["boot_cluster_ap"] = lambda s, d: B.cluster_ap_interval(B.cluster_ap(_methods(s, d), "cluster", ["sim", "near"], "gt"))
+QUERIES["boot_paired_ap_diff"] = lambda s, d: B.paired_ap_difference(B.cluster_ap(_methods(s, d), "cluster", ["sim", "near"], "gt"), "sim", "near")
 _learnable = lambda s, d: _methods(s, d).select("item_a", "item_b", "cluster", F.col("gt").alias("y"), "sim", "near")
 QUERIES["cv_stratified_logreg"] = lambda s, d: L.cross_validated(_learnable(s, d), ["sim", "near"], "y", ["item_a", "item_b"])
 QUERIES["lodo_logreg"] = lambda s, d: L.leave_one_out(_learnable(s, d).withColumn("dataset", F.col("cluster") % 3), "dataset", ["sim", "near"], "y")
 
 
 def _features(s, d):
-    return items(s, d).select("item", "cluster", (F.col("kind") == 0).cast("int").alias("y"), *(F.element_at("v", k + 1).alias(f"f{k}") for k in range(8)))
+    return items(s, d).select("item", "cluster", (F.col("kind") == 0).cast("int").alias("y"), *(F.element_at("v", k + 1).alias(f"f{k}") for k in range(64)))
 
 
-QUERIES["cv_group_probe"] = lambda s, d: L.group_probe(_features(s, d), "cluster", [f"f{k}" for k in range(8)], "y", cs=(0.1, 1.0), k=3)
-QUERIES["cv_mlp_probe"] = lambda s, d: L.mlp_probe(_features(s, d), "cluster", [f"f{k}" for k in range(8)], "y", hidden=(16, 16), k=3, max_iter=30)
+QUERIES["cv_group_probe"] = lambda s, d: L.group_probe(_features(s, d), "cluster", [f"f{k}" for k in range(64)], "y")
+QUERIES["cv_mlp_probe"] = lambda s, d: L.mlp_probe(_features(s, d), "cluster", [f"f{k}" for k in range(64)], "y")
 
 # streams over the events, run to the end
 

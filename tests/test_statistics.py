@@ -50,6 +50,34 @@ def test_multiplicities_follow_one_generator(spark):
     assert (found == np.array(expected)).all()
 
 
+@pytest.mark.parametrize("draws", ["generator", "md5"])
+def test_cluster_curves_equal_loops(spark, monkeypatch, draws):
+    """Ties within and over clusters, scores that are null or NaN, many chunks and small blocks."""
+    monkeypatch.setattr(B, "_ROWS", 7)
+    rng = np.random.default_rng(5)
+    rows = [(f"c{rng.integers(0, 6)}", float(np.round(rng.normal(), 1)), float(rng.normal()), int(rng.random() < 0.4)) for _ in range(400)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, 1), ("c1", None, float("nan"), 1), ("c1", 0.5, 0.5, None)], "c string, a double, b double, y int")
+    found = {(r["replicate"], r["method"]): r["ap"] for r in B.cluster_ap(df, "c", ["a", "b"], "y", 12, 9, draws).collect()}
+    assert len(found) == 26
+    names = sorted({r[0] for r in rows})
+    for r, times in enumerate([np.ones(6, int), *B.drawn_times(6, range(12), 9, draws)]):
+        use = [row for row in rows for _ in range(times[names.index(row[0])])]
+        for k, m in ((1, "a"), (2, "b")):
+            assert found[(r - 1, m)] == pytest.approx(_brute([row[k] for row in use], [row[3] for row in use]))
+
+
+def test_too_many_clusters_or_replicates_raise(spark, monkeypatch):
+    df = spark.createDataFrame([(k, 0.5, k % 2) for k in range(9)], "c int, s double, y int")
+    monkeypatch.setattr(B, "MOST_TIMES", 50)
+    with pytest.raises(ValueError):
+        B.cluster_ap(df, "c", ["s"], "y", 10)
+    monkeypatch.setattr(B, "MOST_CLUSTERS", 8)
+    with pytest.raises(ValueError):
+        B.cluster_mean(df, "c", "s", 10)
+    with pytest.raises(ValueError):
+        list(B.drawn_times(3, [0], 1, "dice"))
+
+
 def test_paired_difference_keeps_pairs_together(spark):
     rows = [(c, y, float(y) + 0.1 * k, 1.0 - y + 0.1 * k) for c in range(2) for k, y in enumerate([1, 1, 0, 0])]
     df = spark.createDataFrame(rows, "cluster int, gt int, a double, b double")
