@@ -11,6 +11,7 @@ from strandline.operators import frames as R
 from strandline.operators import pairs as P
 from strandline.operators import segments as S
 from strandline.operators.cluster import dbscan
+from strandline.operators.positions import numbered_values
 from strandline.tables import table
 
 QUERIES: dict = {}
@@ -164,10 +165,8 @@ SQL["flt_nan_rows"] = "SELECT query_indices, count(*) AS n FROM scores WHERE bot
 
 
 def dense_ids(df: DataFrame, label: str, out: str) -> DataFrame:
-    """0-based numbers of the sorted distinct labels: the distinct labels are numbered, then joined."""
-    distinct = df.select(label).where(F.col(label).isNotNull()).distinct()
-    numbered = distinct.withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(F.broadcast(numbered) if distinct.count() < 100_000 else numbered, label, "left")
+    """0-based numbers of the sorted distinct labels; a null label has none."""
+    return df.join(numbered_values(df, label, out), label, "left")
 
 
 QUERIES["prj_label_ids"] = lambda s, d: dense_ids(user_events(s, d), "event_type", "label_id").select("event_id", "label_id")

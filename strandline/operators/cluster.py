@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.near import near_pairs
+from strandline.operators.positions import numbered_values
 from strandline.scratch import Scratch
 
 
@@ -24,8 +25,9 @@ def least_labels(nodes: DataFrame, node: str, edges: DataFrame, max_rounds: int
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         stepped = labels.join(heard, "node", "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        after = scratch.table(stepped.join(jump, "near", "left").select("node", F.col("label").alias("old"), F.least("near", F.coalesce("far", "near")).alias("label")))
-        changed = after.where("old <> label").limit(1).count()
+        moved = stepped.join(jump, "near", "left").select("node", F.col("label").alias("old"), F.least("near", F.coalesce("far", "near")).alias("label"))
+        after = scratch.table(moved, changed=F.count_if(F.col("old") != F.col("label")))
+        changed = after.measured["changed"]
         scratch.drop(labels)
         labels = after.select("node", "label")
         if not changed:
@@ -51,8 +53,5 @@ def dbscan(points: DataFrame, id: str, at: Sequence[Column], eps: float, min_sam
     linked = pairs.join(cores.select(F.col("core").alias("id_a")), "id_a", "left_semi").join(cores.select(F.col("core").alias("id_b")), "id_b", "left_semi")
     labels = least_labels(cores, "core", linked.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     border = both.join(cores.select(F.col("core").alias("id_a")), "id_a", "left_anti").join(labels.select(F.col("core").alias("id_b"), "label"), "id_b").groupBy(F.col("id_a").alias("core")).agg(F.min("label").alias("label"))
-    members = labels.unionByName(border)
-    # numbers: one row per cluster is ranked, not the points
-    firsts = members.select("label").distinct()
-    numbered = firsts.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("cluster"))
-    return members.join(numbered, "label").select(F.col("core").alias(id), "cluster")
+    members = scratch.table(labels.unionByName(border))
+    return members.join(numbered_values(members, "label", "cluster"), "label").select(F.col("core").alias(id), "cluster")

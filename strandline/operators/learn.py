@@ -8,10 +8,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.metrics import average_precision, roc_auc
+from strandline.operators.positions import numbered
 
 
 def hashed_folds(rows: DataFrame, by: Sequence[str], k: int, seed: int, out: str = "fold", stratify: str | None = None) -> DataFrame:
@@ -22,8 +23,8 @@ def hashed_folds(rows: DataFrame, by: Sequence[str], k: int, seed: int, out: str
     h = F.xxhash64(F.lit(seed), *by)
     if stratify is None:
         return rows.withColumn(out, F.pmod(h, F.lit(k)).cast("int"))
-    place = F.row_number().over(Window.partitionBy(stratify).orderBy(h, *by))
-    return rows.withColumn(out, ((place - 1) % k).cast("int"))
+    placed = numbered(rows.withColumn("hash__", h), [stratify], F.shiftright("hash__", 54), [F.col("hash__"), *map(F.col, by)], "place__")
+    return placed.withColumn(out, ((F.col("place__") - 1) % k).cast("int")).drop("place__", "hash__")
 
 
 def _logistic(c: float, n: int) -> LogisticRegression:

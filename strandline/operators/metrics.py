@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.positions import numbered
+
 _BUCKETS = 2048
 
 
@@ -60,18 +62,25 @@ def roc_auc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataF
     return summed.select(*keys, F.when(both, F.col("w") / (F.col("p") * F.col("n"))).otherwise(F.lit(float("nan"))).alias("auc"))
 
 
+def _score_bucket(score: str, sign: int) -> Column:
+    """A whole number that rises with ``sign`` * score; null and NaN stand where Spark sorts them."""
+    s = F.col(score).cast("double")
+    inside = (F.floor(F.atan(s) / math.pi * _BUCKETS) * sign).cast("int")
+    return F.when(s.isNull(), sign * -_BUCKETS).when(F.isnan(s), sign * _BUCKETS).otherwise(inside)
+
+
 def average_precision_positional(df: DataFrame, keys: Sequence[str], score: str, label: str, ties: Sequence[str]) -> DataFrame:
     """(keys, ap) of the strict ranking by falling score, then ``ties``."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), *ties)
-    ranked = df.select(*keys, (F.col(label) == 1).cast("int").alias("rel"), F.row_number().over(w).alias("r"), F.sum((F.col(label) == 1).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
+    rows = df.select(*keys, score, *ties, (F.col(label) == 1).cast("int").alias("rel"))
+    ranked = numbered(rows, keys, _score_bucket(score, -1), [F.desc(score), *map(F.col, ties)], "r", {"tp": "rel"})
     out = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("rel") == 1, F.col("tp") / F.col("r"))).alias("g"), F.sum("rel").alias("p"))
     return out.select(*keys, F.when(F.col("p") > 0, F.col("g") / F.col("p")).otherwise(F.lit(float("nan"))).alias("ap"))
 
 
 def roc_auc_ordinal(df: DataFrame, keys: Sequence[str], score: str, label: str, ties: Sequence[str]) -> DataFrame:
     """(keys, auc) by ordinal ranks: equal scores are ranked by ``ties``."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(score, *ties))
-    ranked = df.select(*keys, (F.col(label) == 1).cast("long").alias("rel"), rank.alias("r"))
+    rows = df.select(*keys, score, *ties, (F.col(label) == 1).cast("long").alias("rel"))
+    ranked = numbered(rows, keys, _score_bucket(score, 1), [F.asc(score), *map(F.col, ties)], "r")
     out = ranked.groupBy(*keys).agg(F.sum(F.col("r") * F.col("rel")).alias("s"), F.sum("rel").alias("p"), F.count("*").alias("n"))
     neg = F.col("n") - F.col("p")
     return out.select(*keys, F.when((F.col("p") > 0) & (neg > 0), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).otherwise(F.lit(float("nan"))).alias("auc"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.arrays import let, pick, range0
+from strandline.scratch import Scratch
 
 _INDEX = "int"
 
@@ -129,15 +130,18 @@ def draw_negatives(numbered: DataFrame, positives: DataFrame, id: str, place: st
     """(draw, id_a, id_b): the first ``n`` of ``draws`` pairs of items drawn with replacement that are no pair of an item
     with itself and no positive; a pair may come up again.  ``place`` numbers the items from 0.
 
-    Draw k takes the items at md5(k|a|seed) and md5(k|b|seed) modulo their number; both are looked up by joins.
+    Raises where the draws don't suffice.  Draw k takes the items at md5(k|a|seed) and md5(k|b|seed) modulo their number; both are looked up by joins.
     """
     spark = numbered.sparkSession
     size = numbered.count()
-    if size < 2:
+    if size < 2 or n < 1:
         return numbered.limit(0).select(F.lit(0).cast("bigint").alias("draw"), F.col(id).alias("id_a"), F.col(id).alias("id_b"))
     at = lambda side: (md5_seed(F.concat_ws("|", F.col("id").cast("string"), F.lit(side), F.lit(str(seed)))) % size).alias(f"at_{side}")
     drawn = spark.range(draws).select(F.col("id").alias("draw"), at("a"), at("b"))
     for side in "ab":
         drawn = drawn.join(numbered.select(F.col(place).cast("bigint").alias(f"at_{side}"), F.col(id).alias(f"id_{side}")), f"at_{side}")
     pairs = drawn.where("id_a <> id_b").select("draw", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    return pairs.join(positives.select("id_a", "id_b").distinct(), ["id_a", "id_b"], "left_anti").orderBy("draw").limit(n).select("draw", "id_a", "id_b")
+    fit = Scratch(spark, "negatives").table(pairs.join(positives.select("id_a", "id_b").distinct(), ["id_a", "id_b"], "left_anti").select("draw", "id_a", "id_b"), n=F.count(F.lit(1)))
+    if fit.measured["n"] < n:
+        raise ValueError(f"{draws} draws gave {fit.measured['n']} of {n} negatives; allow more draws")
+    return fit.orderBy("draw").limit(n)

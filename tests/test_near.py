@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.operators import near
 from strandline.operators.cluster import dbscan, least_labels
 from strandline.operators.near import chord, near_pairs, on_globe
 
@@ -23,6 +24,24 @@ def test_equals_brute_force(spark, seed, spread):
     assert len(found) == len(set(found)) and set(found) == _brute(points, 30.0)
 
 
+@pytest.mark.parametrize("top, crowded", [(8, 512), (2048, 2), (1, 5)])
+def test_any_start_and_any_leaf(spark, monkeypatch, top, crowded):
+    """From few or many top nodes, with leaves refined by count: an overfull place, equal places, lines at the limit."""
+    monkeypatch.setattr(near, "TOP", top)
+    monkeypatch.setattr(near, "CROWDED", crowded)
+    rng = np.random.default_rng(7)
+    points = [(i, *map(float, rng.uniform(-60, 60, 2))) for i in range(150)] + [(200 + i, 7.0, 7.0) for i in range(12)] + [(300 + i, 37.0, 7.0) for i in range(12)]
+    points += [(400 + i, 4000.0 + 10.0 * i, -9000.0) for i in range(20)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    found = [(r["id_a"], r["id_b"]) for r in near.near_pairs(df, "id", [F.col("x"), F.col("y")], 30.0).collect()]
+    assert len(found) == len(set(found)) and set(found) == _brute(points, 30.0)
+
+
+def test_an_id_at_several_places(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (1, 5.0, 0.0), (2, 1.0, 0.0), (2, 4.0, 0.0), (3, 900.0, 0.0)], "id long, x double, y double")
+    assert [tuple(r) for r in near_pairs(df, "id", [F.col("x"), F.col("y")], 30.0).collect()] == [(1, 2)]
+
+
 def test_odd_rows(spark):
     rows = [(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 3.0, 4.0), (None, 0.0, 0.0), (3, None, 0.0), (4, float("nan"), 0.0), (5, float("inf"), 0.0), (6, 1e300, 0.0), (7, 1e300, 0.0)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "id long, c double, lo_x double, a_cx string")  # names as used inside
