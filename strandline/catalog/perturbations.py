@@ -160,6 +160,19 @@ def _report(s, d):
 
 
 QUERIES["temporal_report"] = _report
+# the second set holds the even items, turned round; scrambles of b-sides are of that set
+SQL["temporal_report"] = f"""{WITH}, {PAIRS}, {UNITS}, rv AS (SELECT item, {T - 1} - pos AS pos, dim, val FROM units WHERE item % 2 = 0),
+sc AS (SELECT 1 AS k, item, pos, dim, val FROM rv UNION ALL SELECT 4, mv.item, mv.pos, c.dim, c.val FROM ({chunked(4, 3, f'c * {T // 4}', str(T // 4))}) mv JOIN rv c ON c.item = mv.item AND c.pos = mv.old),
+o AS (SELECT b.k, p.item_a, p.item_b, p.gt, sum(a.val * b.val) / {T}.0 AS s FROM pairs p JOIN units a ON a.item = p.item_a JOIN sc b ON b.item = p.item_b AND b.pos = a.pos AND b.dim = a.dim GROUP BY ALL),
+c AS (SELECT k, s, sum(gt) AS pos, count(*) AS n FROM o GROUP BY k, s),
+t AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM c WINDOW w AS (PARTITION BY k ORDER BY s DESC)),
+ap AS (SELECT k, sum(pos * tp / CAST(seen AS DOUBLE)) / sum(pos) AS ap FROM t GROUP BY k),
+d AS (SELECT max(ap) FILTER (k = 1) - max(ap) FILTER (k = 4) AS d FROM ap),
+v AS (SELECT a.item, sum(a.val * b.val) / {T}.0 AS s FROM units a JOIN units b ON b.item = a.item AND b.dim = a.dim AND b.pos = {T - 1} - a.pos GROUP BY a.item)
+SELECT 'ap' AS measure, CAST(k AS INTEGER) AS k, round(ap, 6) + 0.0 AS value, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS note FROM ap
+UNION ALL SELECT 'drop', NULL, round(d, 6) + 0.0, NULL, CASE WHEN d > 0.05 THEN 'order-sensitive' ELSE 'order-invariant' END FROM d
+UNION ALL SELECT 's_rev_mean', NULL, round(avg(s), 6) + 0.0, count(*), NULL FROM v
+UNION ALL SELECT 's_rev_std', NULL, round(stddev_pop(s), 6) + 0.0, count(*), NULL FROM v"""
 
 
 def _contrast(s, d):

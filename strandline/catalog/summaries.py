@@ -182,6 +182,13 @@ def _runs(s, d):
 
 
 QUERIES["stream_run_segments"] = _runs
+# a key's last run is open until the watermark, an hour behind the newest event, is a day past the key's own newest
+SQL["stream_run_segments"] = """WITH g AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS fresh FROM events),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM g),
+k AS (SELECT user_id, max(run) AS last_run, epoch_ms(max(ts)) + 86400000 AS until FROM r GROUP BY user_id),
+m AS (SELECT epoch_ms(max(ts)) - 3600000 AS watermark FROM events)
+SELECT r.user_id, any_value(event_type) AS label, min(event_id) AS start, max(event_id) AS last, count(*) AS n
+FROM r JOIN k USING (user_id) CROSS JOIN m WHERE run < last_run OR until < watermark GROUP BY r.user_id, run"""
 
 
 def _stream_gallery(s, d):
