@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.catalog.base import ITEMS, items, r6
+from strandline.functions.maps import merged, score_map
 from strandline.operators import fusion as U
 from strandline.operators import metrics as M
 from strandline.operators import pairs as P
@@ -78,6 +79,19 @@ SELECT round(threshold, 6) + 0.0 AS threshold, round(count(*) FILTER (sim < thre
 QUERIES["join_all_pairs"] = lambda s, d: P.all_pairs(items(s, d), "item", ["kind"]).groupBy((F.col("kind_a") == F.col("kind_b")).cast("int").alias("same")).agg(F.count("*").alias("n"))
 SQL["join_all_pairs"] = f"WITH {ITEMS} SELECT CAST(a.kind = b.kind AS INTEGER) AS same, count(*) AS n FROM items a JOIN items b ON a.item < b.item GROUP BY 1"
 
+# maps of scores by name: a second map overrides the first
+
+
+def _score_maps(s, d):
+    first = score_map({"sim": F.col("sim"), "dist": F.when(F.col("gt") == 1, F.col("dist"))})
+    both = pair_scores(s, d).withColumn("m", merged(first, score_map({"sim": F.when(F.col("dist") > 1, -F.col("sim")), "near": -F.col("dist")})))
+    return both.select("item_a", "item_b", F.size("m").alias("n"), F.concat_ws(",", F.array_sort(F.map_keys("m"))).alias("names"), *(F.element_at("m", F.lit(k)).alias(k) for k in ("sim", "dist", "near")))
+
+
+QUERIES["prj_score_map"] = _score_maps
+SQL["prj_score_map"] = f"""{WITH} SELECT item_a, item_b, CAST(2 + gt AS INTEGER) AS n, CASE WHEN gt = 1 THEN 'dist,near,sim' ELSE 'near,sim' END AS names,
+CASE WHEN dist > 1 THEN -sim ELSE sim END AS sim, CASE WHEN gt = 1 THEN dist END AS dist, -dist AS near FROM ps"""
+
 # directed galleries
 
 

@@ -1,6 +1,6 @@
 """Command line: scramble gradients, reversal sensitivity, joint reports and factorials over files.
 
-    python -m strandline.cli report --first a.parquet --second b.parquet --pairs pairs.csv --similarity dtw
+    python -m strandline.cli report --embeddings-a a.parquet --embeddings-b b.parquet --pairs pairs.csv --similarity dtw
 """
 
 from __future__ import annotations
@@ -22,25 +22,30 @@ def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="strandline", description=__doc__.splitlines()[0])
     commands = parser.add_subparsers(dest="command", required=True)
 
-    def command(name: str, *, second: bool, pairs: bool, ks: bool) -> argparse.ArgumentParser:
+    table = "Parquet of (seq_id, emb)"
+
+    def command(name: str, *, pairs: bool) -> argparse.ArgumentParser:
         p = commands.add_parser(name)
-        p.add_argument("--first", required=True, help="Parquet of (seq_id, emb)")
-        if second:
-            p.add_argument("--second", help="Parquet of (seq_id, emb); the first again by default")
         if pairs:
             p.add_argument("--pairs", required=True, help="text lines: id_a,id_b,label")
-        if ks:
-            p.add_argument("--k-values", type=int, nargs="+", default=[1, 4, 16])
-            p.add_argument("--seed", type=int, default=0)
         p.add_argument("--output", help="file for the JSON; standard output by default")
         return p
 
     for name in ("scramble-gradient", "report"):
-        command(name, second=True, pairs=True, ks=True).add_argument("--similarity", default="cosine")
-    command("s-rev", second=False, pairs=False, ks=False).add_argument("--similarity", default="cosine")
-    p = command("decompose", second=True, pairs=True, ks=False)
-    p.add_argument("--baseline", default="cosine")
-    p.add_argument("--alternative", default="dtw")
+        p = command(name, pairs=True)
+        p.add_argument("--embeddings-a", "--first", dest="first", required=True, help=table)
+        p.add_argument("--embeddings-b", "--second", dest="second", help=table + "; the first again by default")
+        p.add_argument("--similarity", default="cosine")
+        p.add_argument("--k-values", type=int, nargs="+", default=[1, 4, 16])
+        p.add_argument("--seed", type=int, default=0)
+    p = command("s-rev", pairs=False)
+    p.add_argument("--embeddings", "--first", dest="first", required=True, help=table)
+    p.add_argument("--similarity", default="cosine")
+    p = command("decompose", pairs=True)
+    p.add_argument("--baseline-embeddings", "--first", dest="first", required=True, help=table)
+    p.add_argument("--alternative-embeddings", "--second", dest="second", help=table + "; the baseline's again by default")
+    p.add_argument("--baseline-comparator", "--baseline", dest="baseline", default="cosine")
+    p.add_argument("--alternative-comparator", "--alternative", dest="alternative", default="dtw")
     return parser
 
 
@@ -54,14 +59,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.command == "s-rev":
         comparator(args.similarity)
         found = G.reversal_summary(first, "seq_id", "emb", [args.similarity]).first()
-        return {"mean": found["mean"], "std": found["std"], "n": found["n"]}
+        return {"mean": found["mean"], "std": found["std"], "n_videos": found["n"]}
     second = read_sequences(spark, args.second) if args.second else first
     pairs = read_pairs(spark, args.pairs)
     if args.command == "decompose":
         methods = list(dict.fromkeys([args.baseline, args.alternative]))
         for m in methods:
             comparator(m)
-        sets = {"first": first, "second": second} if args.second else {"first": first}
+        sets = {"baseline": first, "alternative": second}
         cells = _rows(G.factorial_ap(pairs, sets, methods))
         if not cells:
             raise ValueError("no pairs are shared by all feature sets")

@@ -171,3 +171,22 @@ def patch_statistics(patches: Column) -> Column:
 def temporal_residual(predicted: Column, actual: Column) -> Column:
     """Per step the mean over places of prediction minus truth: both are array (steps) of array (places) of vectors."""
     return F.zip_with(predicted, actual, lambda p, a: A.mean_rows(F.zip_with(p, a, lambda u, w: F.zip_with(u, w, lambda s, t: s - t))))
+
+
+# by name, for ablations over poolings of a packed sequence to one vector
+_POOLINGS: dict[str, Callable[[Column], Column]] = {"mean": pool_mean, "max": pool_max, "attention_weighted": pool_attention, "first": pool_first, "last": pool_last, "temporal_stats": pool_temporal_stats}
+
+
+def register_pooling(name: str, build: Callable[[Column], Column]) -> None:
+    """Make ``build`` known by ``name``; a known name is replaced."""
+    _POOLINGS[name] = build
+
+
+def pooling(name: str) -> Callable[[Column], Column]:
+    if name not in _POOLINGS:
+        raise ValueError(f"unknown pooling {name!r}; known: {', '.join(pooling_names())}")
+    return _POOLINGS[name]
+
+
+def pooling_names() -> list[str]:
+    return sorted(_POOLINGS)

@@ -54,12 +54,30 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame(rows, "seq_id string, emb array<array<double>>").write.parquet(str(tmp_path / "s"))
     (tmp_path / "p.csv").write_text("s0,s0,1\ns1,s1,1\ns0,s3,0\ns1,s2,0\n")
     base = ["--first", str(tmp_path / "s")]
-    assert cli.run(spark, cli._parser().parse_args(["s-rev", *base]))["n"] == 4
+    assert cli.run(spark, cli._parser().parse_args(["s-rev", *base]))["n_videos"] == 4
     pairs = ["--pairs", str(tmp_path / "p.csv")]
     out = cli.run(spark, cli._parser().parse_args(["scramble-gradient", *base, *pairs, "--k-values", "1", "4"]))
     assert set(out["ap"]) == {"1", "4"}
     out = cli.run(spark, cli._parser().parse_args(["decompose", *base, *pairs]))
-    assert out["n_pairs"] == 4 and set(out["ap"]["first"]) == {"cosine", "dtw"}
+    assert out["n_pairs"] == 4 and set(out["ap"]) == {"baseline", "alternative"} and set(out["ap"]["baseline"]) == {"cosine", "dtw"}
+    spark.createDataFrame([(i, x[::-1]) for i, x in rows], "seq_id string, emb array<array<double>>").write.parquet(str(tmp_path / "t"))
+    two = ["--baseline-embeddings", str(tmp_path / "s"), "--alternative-embeddings", str(tmp_path / "t"), *pairs, "--baseline-comparator", "chamfer", "--alternative-comparator", "ordered_frame"]
+    out = cli.run(spark, cli._parser().parse_args(["decompose", *two]))
+    assert {m for cell in out["ap"].values() for m in cell} == {"chamfer", "ordered_frame"}
+    out = cli.run(spark, cli._parser().parse_args(["report", "--embeddings-a", str(tmp_path / "s"), "--embeddings-b", str(tmp_path / "t"), *pairs]))
+    assert {r["measure"] for r in out["report"]} == {"ap", "drop", "s_rev_mean", "s_rev_std"}
     assert json.dumps(cli.run(spark, cli._parser().parse_args(["report", *base, *pairs, "--similarity", "ordered_frame"])))
     with pytest.raises(ValueError, match="known"):
         cli.run(spark, cli._parser().parse_args(["s-rev", *base, "--similarity", "nothing"]))
+
+
+def test_names_at_the_top_and_poolings(spark):
+    import strandline
+    from strandline.operators import sequences as S
+
+    assert strandline.near_pairs.__module__ == "strandline.operators.near" and "score_pairs" in dir(strandline)
+    with pytest.raises(AttributeError):
+        strandline.nothing
+    assert S.pooling("attention_weighted") is S.pool_attention and set(S.pooling_names()) >= {"mean", "max", "attention_weighted"}
+    with pytest.raises(ValueError, match="known"):
+        S.pooling("median")
