@@ -12,6 +12,7 @@ from strandline.llm.mojibake import repair_documents
 from strandline.llm.runs import collapse_runs
 from strandline.llm.splits import assign_splits, consolidate, own_key, session_reading, split_targets
 from strandline.llm.topn import By, top_n_per_group
+from strandline.scratch import Scratch
 from strandline.tables import table
 
 
@@ -69,6 +70,7 @@ def _keyed_activity(spark: SparkSession, d: str) -> DataFrame:
     """(segment_id, person_session, session_key): the key is the name that hash-to-min finds for the row's spelling."""
     rows = table(spark, d, "activity_segments")
     rows = rows.select("segment_id", "person_session", session_reading(F.col("person_session"), F.col("sequence_name"), F.col("video_path")).alias("read"))
+    rows = Scratch(spark, "keys").table(rows)  # read twice, so that the patterns are matched once
     return consolidate(rows, F.col("read.spelling"), F.col("read.name"), "session_key").drop("read")
 
 
