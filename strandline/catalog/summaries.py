@@ -143,11 +143,12 @@ QUERIES["lodo_logreg"] = lambda s, d: L.leave_one_out(_learnable(s, d).withColum
 
 
 def _features(s, d):
-    return items(s, d).select("item", "cluster", (F.col("kind") == 0).cast("int").alias("y"), *(F.element_at("v", k + 1).alias(f"f{k}") for k in range(64)))
+    return items(s, d).select("item", "cluster", (F.col("kind") == 0).cast("int").alias("y"), *(F.element_at("v", k + 1).alias(f"f{k}") for k in range(8)))
 
 
-QUERIES["cv_group_probe"] = lambda s, d: L.group_probe(_features(s, d), "cluster", [f"f{k}" for k in range(64)], "y")
-QUERIES["cv_mlp_probe"] = lambda s, d: L.mlp_probe(_features(s, d), "cluster", [f"f{k}" for k in range(64)], "y")
+# smaller than the operators' defaults, which take minutes here (README)
+QUERIES["cv_group_probe"] = lambda s, d: L.group_probe(_features(s, d), "cluster", [f"f{k}" for k in range(8)], "y", cs=(0.1, 1.0), k=3)
+QUERIES["cv_mlp_probe"] = lambda s, d: L.mlp_probe(_features(s, d), "cluster", [f"f{k}" for k in range(8)], "y", hidden=(16, 16), k=3, max_iter=30)
 
 # streams over the events, run to the end
 
