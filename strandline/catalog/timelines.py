@@ -138,7 +138,7 @@ SQL["frame_pad_truncate"] = f"{CLIP} SELECT event_id, CAST(64 AS BIGINT) AS size
 def _caps(s, d):
     c = _clip(s, d)
     caps = [2.0, 5.0, 10.0, 15.0, 30.0]
-    rows = c.select("duration", F.explode(F.array(*(F.struct(F.lit(x).alias("cap"), (64 / F.col("duration") > x).alias("active"), R.capped_unique(F.col("duration"), x).alias("u")) for x in caps))).alias("e"))
+    rows = c.select("duration", F.explode(F.array(*(F.struct(F.lit(x).alias("cap"), (R.target_fps(F.col("duration")) > x).alias("active"), R.capped_unique(F.col("duration"), x).alias("u")) for x in caps))).alias("e"))
     return rows.groupBy("e.cap").agg(r6(100 * F.avg(F.col("e.active").cast("double"))).alias("active_pct"), r6(F.avg("e.u")).alias("mean_unique"), F.min("e.u").alias("min_unique"), F.max("e.u").alias("max_unique"))
 
 

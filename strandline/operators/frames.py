@@ -48,12 +48,17 @@ def pad_stats(taken: Column, duration: Column, k: int = 64) -> Column:
     return F.struct(taken.alias("unique_frames"), F.greatest(F.lit(0.0), 1 - taken / k).alias("dup_ratio"), (taken / length).alias("fps_eff"))
 
 
+def target_fps(duration: Column, k: int = 64) -> Column:
+    """The rate that gives k frames; without limit for a clip of no length, where a plain division raises."""
+    return F.coalesce(F.try_divide(F.lit(float(k)), duration), k * F.pow(duration, F.lit(-1.0)))
+
+
 def capped_unique(duration: Column, cap: float | None, k: int = 64) -> Column:
     """Frames left at a capped rate: max(1, min(k, whole(rate * duration))), where the rate aims at k frames."""
-    rate = k / duration
+    rate = target_fps(duration, k)
     if cap is not None:
         rate = F.least(rate, F.lit(cap))
-    return F.greatest(F.lit(1), F.least(F.lit(k), F.floor(rate * duration))).cast("int")
+    return F.greatest(F.lit(1), F.floor(F.least(F.lit(float(k)), rate * duration))).cast("int")
 
 
 def effective_fps(times: Column) -> Column:
