@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark import SparkContext
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -31,6 +32,13 @@ def _logistic(c: float, n: int) -> LogisticRegression:
     return LogisticRegression(featuresCol="x__", labelCol="y__", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8)
 
 
+def _without_summary(model: PipelineModel) -> PipelineModel:
+    """``model`` for use in tasks: the training summary of two classes holds the session, which can't be sent to them once it has observed a query."""
+    fitted = model.stages[-1]._java_obj
+    fitted.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 def out_of_fold(rows: DataFrame, features: Sequence[str], label: str, fold: str, k: int, c: float = 1.0, scale: bool = False) -> DataFrame:
     """``rows`` with the probability that a model fitted on the other folds gives them; rows with a null feature fall out."""
     data = VectorAssembler(inputCols=list(features), outputCol="raw__", handleInvalid="skip").transform(rows.withColumn("y__", F.col(label).cast("double")))
@@ -42,7 +50,7 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], label: str, fold: str,
             continue
         steps = [StandardScaler(inputCol="raw__", outputCol="x__", withMean=True)] if scale else []
         lr = _logistic(c, n) if scale else _logistic(c, n).setFeaturesCol("raw__")
-        scored = Pipeline(stages=[*steps, lr]).fit(train).transform(test).withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p")
+        scored = _without_summary(Pipeline(stages=[*steps, lr]).fit(train)).transform(test).withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p")
         out = scored if out is None else out.unionByName(scored)
     return out if out is not None else rows.limit(0).withColumn("p", F.lit(None).cast("double"))
 
