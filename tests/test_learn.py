@@ -52,3 +52,20 @@ def test_probabilities_equal_loops(rows):
             w = _fit((train[:, 1] - mean) / std, train[:, 2], 0.1)
             for dataset, x, p in scored:
                 assert dataset != g or p == pytest.approx(1 / (1 + np.exp(-(w[0] * (x - mean) / std + w[1]))), abs=1e-4)
+
+
+def test_best_c_of_group_folds_equals_loops(rows):
+    folded = L.hashed_folds(rows.withColumn("group", F.floor(F.col("x") * 7)), ["group"], 2, 42)
+    local = np.array([(r["x"], r["y"], r["fold"]) for r in folded.collect()])
+    expected = {}
+    for c in (0.001, 10.0):
+        hits = []
+        for f in range(2):
+            train, test = local[local[:, 2] != f], local[local[:, 2] == f]
+            mean, std = train[:, 0].mean(), train[:, 0].std(ddof=1)
+            w = _fit((train[:, 0] - mean) / std, train[:, 1], c)
+            hits.append(np.mean((w[0] * (test[:, 0] - mean) / std + w[1] >= 0) == test[:, 1]))
+        expected[c] = np.mean(hits)
+    found = L.group_probe(rows.withColumn("group", F.floor(F.col("x") * 7)), "group", ["x"], "y", (0.001, 10.0), 2).first()
+    best = max(expected, key=expected.get)  # the first of equals
+    assert found["c"] == best and found["accuracy"] == pytest.approx(expected[best])
