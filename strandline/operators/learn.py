@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import SparkContext
@@ -80,9 +81,12 @@ def group_probe(rows: DataFrame, group: str, features: Sequence[str], label: str
     folded = hashed_folds(rows, [group], k, seed)
     for c in cs:
         scored = out_of_fold(folded, features, label, "fold", k, c, scale=True)
-        by_fold = scored.groupBy("fold").agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col(label)).cast("double")).alias("a"))
-        accuracy = by_fold.agg(F.avg("a")).first()[0]
-        if accuracy is not None and (best is None or accuracy > best[1]):
+        hit = (F.col("p") > 0.5).cast("int") == F.col(label)  # even odds are class 0
+        by_fold = [r["a"] for r in scored.groupBy("fold").agg(F.avg(hit.cast("double")).alias("a")).collect() if r["a"] is not None]  # k rows at most
+        if not by_fold:
+            continue
+        accuracy = math.fsum(by_fold) / len(by_fold)  # the same in any order of folds, or equals aren't equal
+        if best is None or accuracy > best[1]:
             best = (c, accuracy)
     return rows.sparkSession.createDataFrame([best or (float("nan"), float("nan"))], "c double, accuracy double")
 

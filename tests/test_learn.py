@@ -69,3 +69,23 @@ def test_best_c_of_group_folds_equals_loops(rows):
     found = L.group_probe(rows.withColumn("group", F.floor(F.col("x") * 7)), "group", ["x"], "y", (0.001, 10.0), 2).first()
     best = max(expected, key=expected.get)  # the first of equals
     assert found["c"] == best and found["accuracy"] == pytest.approx(expected[best])
+
+
+def test_even_odds_are_class_0(spark):
+    of = {r["fold"]: r["group"] for r in L.hashed_folds(spark.range(20).toDF("group"), ["group"], 2, 42).collect()}
+    both = [(g, x, y) for g in of.values() for x, y in ((-1.0, 0), (1.0, 1))]
+    odds = spark.createDataFrame([*both, (of[1], 0.0, 0)], "group long, x double, y int")  # in the middle of what fold 0 has
+    assert L.group_probe(odds, "group", ["x"], "y", (100.0,), 2).first()["accuracy"] == 1.0
+
+
+@pytest.mark.parametrize("hits", [[(1, 2, 3), (2, 1, 3), (2, 3, 1)], [(2, 1, 3), (2, 3, 1), (1, 2, 3)], [(2, 3, 1), (1, 2, 3), (2, 1, 3)]])
+def test_first_c_of_equals_in_any_order_of_folds(rows, monkeypatch, hits):
+    """Sums of 0.1, 0.2 and 0.3 differ in the last digit by their order, so the least of them comes first once."""
+    tenths = rows.sparkSession.createDataFrame([(f, k, 1) for f in range(3) for k in range(10)], "fold int, k int, y int")
+
+    def scored(folded, features, label, fold, k, c, scale):
+        return tenths.withColumn("p", (F.col("k") < F.element_at(F.array(*map(F.lit, hits[int(c)])), F.col("fold") + 1)).cast("double"))
+
+    monkeypatch.setattr(L, "out_of_fold", scored)
+    found = L.group_probe(rows, "dataset", ["x"], "y", (0.0, 1.0, 2.0), 3).first()
+    assert found["c"] == 0.0 and found["accuracy"] == pytest.approx(0.2)
